@@ -128,7 +128,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = CUR
     places = staged(on_curves(keyed), "places")
     asked = rows.filter("asks").select("vec_id").distinct()
     chunks = max(1, math.ceil(asked.count() * (2 * reach + block_rows) / max(n, 1) / QUERY_ROWS))
-    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks))
+    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")  # of the same type as on the other side, for equal hashes
     cells = places.withColumn("block", F.floor(F.col("position") / block_rows))
     body = keyed.select("vec_id", "embedding")
     members = cells.join(body, "vec_id").withColumn("chunk", F.explode(F.array(*map(F.lit, range(chunks)))))
