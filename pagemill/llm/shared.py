@@ -55,12 +55,12 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(hubs, "key").filter("id > a").select("a", F.col("id").alias("b")).distinct()
 
 
-def unsettled_pairs(buckets: DataFrame, components: DataFrame, alike: Callable[[str, str], Column], extra: list[str]) -> DataFrame:
+def unsettled_pairs(buckets: DataFrame, components: DataFrame, alike: Callable[[str, str], Column], facts: DataFrame) -> DataFrame:
     """All pairs of a bucket whose members are in different components and that ``alike`` accepts.
 
     After a star pass most buckets lie within one component, where a further link changes nothing.
     The others are looked at in full: each pair across components meets in the join, whose condition
-    ``alike("x.", "y.")`` rejects pairs before any row is made. ``extra`` are the columns it needs.
+    ``alike("x.", "y.")`` rejects pairs before any row is made. ``facts`` has the columns it needs by ``id``.
     """
     labelled = buckets.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (
@@ -69,10 +69,10 @@ def unsettled_pairs(buckets: DataFrame, components: DataFrame, alike: Callable[[
         .filter("low < high")
         .select("key")
     )
-    open_rows = labelled.join(mixed, "key").select("key", "id", "component", *extra)
+    open_rows = staged(labelled.join(mixed, "key").join(facts, "id"), "open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & alike("x.", "y."))
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
+    return x.join(y, across & alike("x.", "y.")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
