@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm import chat, hilbert_ann, minhash, mixing, secrets, url_filter
+from pagemill.llm import chat, decontam, hilbert_ann, minhash, mixing, secrets, url_filter
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 #: The conversation that the contract adds: both turns hold control strings.
 EXTRA_CONVERSATION = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -51,5 +55,6 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_mixing": op5_mixing,
     "op6_hilbert_ann": op6_hilbert_ann,
+    "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
 }
