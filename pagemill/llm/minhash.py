@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import connected_components, dropped, staged, star_pairs, unsettled_pairs
+from pagemill.llm.shared import connected_components, dropped, small, staged, star_pairs, unsettled_pairs
 
 SHINGLE, THRESHOLD = 5, 75
 BANDS, ROWS, LOW_BITS = 32, 4, 4
@@ -240,3 +240,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = rows.select("doc_id", "n_shingles", "copy").join(members, "copy", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group: the one whose doc_id names it, and of rows that repeat it word for word, one.
+
+    What goes is named by doc_id and a hash of the text, so that texts aren't shuffled unless too much goes to be broadcast.
+    """
+    text = F.col("text").cast("string")
+    rows, members = components(docs)
+    judged = rows.select("doc_id", "copy").join(members, "copy").filter("doc_id is not null")
+    gone = staged(judged.filter(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    left = docs.join(small(gone), F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    again = staged(rows.filter("copy is not null and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    if again.isEmpty():
+        return left
+    # Rows that share a doc_id: one of each text stays.
+    one = left.join(small(again), F.col("doc_id").cast("bigint") == F.col("_again"), "left_semi").withColumn("_text", F.sha2(text, 256)).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return left.join(small(again), F.col("doc_id").cast("bigint") == F.col("_again"), "left_anti").unionByName(one)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm import chat, decontam, hilbert_ann, minhash, mixing, secrets, url_filter
+from pagemill.llm import chat, decontam, fuzzy_lines, hilbert_ann, language_id, minhash, mixing, secrets, toxicity, url_filter
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), listed)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return language_id.identify(language_id.of_documents(docs), ["doc_id"]).withColumn("posterior", F.round("posterior", 6))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return language_id.identify(language_id.of_pages(pages), ["page_id", "declared"]).withColumn("posterior", F.round("posterior", 6))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -35,6 +45,15 @@ def op6_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = fuzzy_lines.without_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return clean.select("doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -52,9 +71,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_url_filter": op2_url_filter,
+    "op3_language_id": op3_language_id,
+    "language_id_pages": language_id_pages,
     "op4_minhash": op4_minhash,
     "op5_mixing": op5_mixing,
     "op6_hilbert_ann": op6_hilbert_ann,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
 }

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,3 +127,35 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return spark.createDataFrame([], T.StructType([T.StructField("id", kind), T.StructField("component", kind)]))
     roots = labels.select(F.col("component").alias("id"), "component").distinct()
     return labels.unionByName(roots)
+
+
+def raw_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column end to end, and where each row begins (one more: the end). Nulls are empty."""
+    if column.null_count:
+        column = column.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    every = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return every[at[0] : at[-1]], at - at[0]
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts together have about ``most`` bytes; a longer text is a slice of its own."""
+    if not batch.num_rows:
+        return
+    _, at = raw_texts(batch.column(column))
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, side="right")) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+#: At most this many rows of ids or keys are broadcast; a larger side is shuffled.
+FEW_ROWS = 1_000_000
+
+
+def small(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
