@@ -1,15 +1,15 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posterior labels.
 
-Voters are words of an insult lexicon in four languages, words learned from labelled rows, phrases and typing patterns. Each
-fires or not. The label model takes the true label as hidden: for two voters that err independently
+Voters are words of an insult lexicon in four languages, phrases, typing patterns, and words and word stems learned from labelled
+rows. Each fires or abstains; one more votes clean where no other fires. The label model takes the true label as hidden: for two voters that err independently
 given the label, the covariance of firing is ``d_i d_j p (1 - p)``, where d is a voter's rate on toxic minus that on clean
 documents and p the share of toxic ones, so triplets of covariances give every d without labels. What a pair covaries
 beyond that, given the label, is its correlation; correlated voters share their evidence. The covariances come from one pass over
 all documents in which each task adds up a matrix of fixed size.
 
 Posterior labels of a bounded sample of labelled training rows (``MAX_FIT``, smallest hash first) come from the voters and
-the given label, itself a voter whose error rates are estimated. A logistic regression on word
-features chosen by these posteriors, on the voters and on the patterns is fitted to them. Labels, lang, source and doc_id are no
+the given label, itself a voter whose error rates are estimated. A logistic regression on counts of words and stems chosen
+on the same rows, on the length and on the voters is fitted to them. Labels, lang, source and doc_id are no
 input of a score. Rows whose crc32(doc_id) modulo 4 is 2 are held out of everything that reads labels.
 
 Defined results: null and empty texts are scored by the intercept alone; a null doc_id is not held out and has no label;
@@ -41,18 +41,22 @@ PHRASES = ("shut up", "hate you", "kill yourself", "screw you", "you idiot", "yo
 #: Voters on typing: at least this share of letters in capitals, so many exclamation marks in a row, and hits of the lexicon.
 CAPITALS, EXCLAMATIONS, HITS = 0.5, 3, 2
 PATTERNS = ("capitals", "exclamations", "repeated insult")
-N_VOTERS = len(LEXICON) + len(PHRASES) + len(PATTERNS) + 1
-
-MAX_FIT = 20_000
-LEARNED, FEATURES = 30, 256
+#: Words and stems learned from labels that vote: so many, each where it makes up at least this share of a text's words.
+LEARNED, LEARNED_SHARE = 24, 0.02
+N_VOTERS = len(LEXICON) + len(PHRASES) + len(PATTERNS) + LEARNED + 1
+
+#: Labelled rows in the fit, word features, and words looked at for these, by number of toxic rows that have them.
+MAX_FIT, FEATURES, LOOKED_AT = 12_000, 256, 50_000
+#: A word's first bytes, so many, are features too.
+STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 HELD_OUT = 2
 
 _PLAIN = np.array([i | 32 if chr(i).isascii() and chr(i).isalpha() else 32 if i < 128 and i != 39 else i for i in range(256)], np.uint8)
 
 
-def words_in(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(hash, row)`` of every word, in order, of texts given end to end."""
+def words_in(data: np.ndarray, at: np.ndarray, stems: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """``(hash, row)`` of every word, in order, of texts given end to end; with ``stems``, those of all words follow."""
     plain = _PLAIN[data]
     solid = plain != 32
     before = np.concatenate(([False], solid[:-1])) if len(solid) else solid
@@ -62,7 +66,19 @@ def words_in(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.array([], np.uint64), np.array([], np.int64)
     place = np.arange(starts[0], len(plain)) - np.repeat(starts, np.diff(np.append(starts, len(plain))))
     terms = _BYTE[plain[starts[0] :]] * (_IN_WORD[place & 255] + (place >> 8).astype(np.uint64))
-    return mixed(np.add.reduceat(terms, starts - starts[0])), np.searchsorted(at, starts, side="right") - 1
+    begins = starts - starts[0]
+    row = np.searchsorted(at, starts, side="right") - 1
+    hashes = mixed(np.add.reduceat(terms, begins))
+    if not stems:
+        return hashes, row
+    letters = np.add.reduceat(solid[starts[0] :].astype(np.int32), begins)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(terms, dtype=np.uint64)))
+    every, rows = [hashes], [row]
+    for k in STEMS:
+        long = np.flatnonzero(letters > k)
+        every.append(mixed(sums[begins[long] + k] - sums[begins[long]] + np.uint64(k)))
+        rows.append(row[long])
+    return np.concatenate(every), np.concatenate(rows)
 
 
 def word_hash(word: str) -> np.uint64:
@@ -91,12 +107,13 @@ def places_in(hashes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.nda
     return at[hit], order[where[hit]]
 
 
-def voted(data: np.ndarray, at: np.ndarray, learned: np.ndarray, words: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Which voters fire, as a matrix of rows and ``N_VOTERS`` columns of 0 and 1."""
-    hashes, row = words or words_in(data, at)
-    out = np.zeros((len(at) - 1, N_VOTERS), np.float64)
-    i, j = places_in(hashes, _LEXICON)
-    np.add.at(out, (row[i], j), 1)
+def voted(data: np.ndarray, at: np.ndarray, learned: np.ndarray, tokens: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Which voters fire, as a matrix of rows and ``N_VOTERS`` columns of 0 and 1; the last votes clean."""
+    hashes, row = every, rows = tokens or words_in(data, at, stems=True)
+    n = len(at) - 1
+    out = np.zeros((n, N_VOTERS), np.float64)
+    i, j = places_in(every, _LEXICON)
+    np.add.at(out, (rows[i], j), 1)
     hits = out.sum(1)
     if len(hashes) > 1:
         i, j = places_in(phrase_hash(hashes[:-1], hashes[1:]), _PHRASES)
@@ -112,9 +129,13 @@ def voted(data: np.ndarray, at: np.ndarray, learned: np.ndarray, words: tuple[np
         run = np.append(run[1:], False) & (data == 33)
     out[:, first + 1] = sums(run) > 0
     out[:, first + 2] = hits >= HITS
-    i, _ = places_in(hashes, learned)
-    out[row[i], first + 3] = 1
-    return np.minimum(out, 1)
+    i, j = places_in(every, learned)
+    share = np.zeros((n, LEARNED))
+    np.add.at(share, (rows[i], j), 1)
+    out[:, first + 3 : -1] = share >= np.maximum(LEARNED_SHARE * np.bincount(rows, minlength=n)[:, None] / (1 + len(STEMS) / 2), 1)
+    out = np.minimum(out, 1)
+    out[:, -1] = out[:, :first].sum(1) + out[:, first + 2 : -1].sum(1) == 0
+    return out
 
 
 @dataclass
@@ -128,9 +149,8 @@ class LabelModel:
     weight: np.ndarray
 
     def log_odds(self, votes: np.ndarray) -> np.ndarray:
-        fired = np.log(self.fires_toxic / self.fires_clean)
-        silent = np.log((1 - self.fires_toxic) / (1 - self.fires_clean))
-        return np.log(self.balance / (1 - self.balance)) + (votes * fired + (1 - votes) * silent) @ self.weight
+        """Of toxic against clean; a voter that abstains says nothing."""
+        return np.log(self.balance / (1 - self.balance)) + votes @ (np.log(self.fires_toxic / self.fires_clean) * self.weight)
 
 
 def label_model(n: float, joint: np.ndarray, balance: float) -> LabelModel:
@@ -139,7 +159,7 @@ def label_model(n: float, joint: np.ndarray, balance: float) -> LabelModel:
     rate = np.diag(joint) / max(n, 1)
     cov = joint / max(n, 1) - np.outer(rate, rate)
     v = balance * (1 - balance)
-    live = np.flatnonzero((rate * n >= 5) & (rate < 0.9))
+    live = np.flatnonzero((rate * n >= 5) & (rate < 0.999))
     trusted = np.ones((m, m), bool)
     d = np.zeros(m)
     for _ in range(3):  # each round leaves out the pairs found correlated
@@ -147,10 +167,10 @@ def label_model(n: float, joint: np.ndarray, balance: float) -> LabelModel:
             found = []
             for a, j in enumerate(live):
                 for k in live[a + 1 :]:
-                    if i not in (j, k) and trusted[i, j] and trusted[i, k] and trusted[j, k] and cov[j, k] > 1e-9:
+                    if i not in (j, k) and trusted[i, j] and trusted[i, k] and trusted[j, k] and abs(cov[j, k]) > 1e-9:
                         found.append(cov[i, j] * cov[i, k] / cov[j, k])
             square = np.median(found) if found else 0.0
-            d[i] = np.sqrt(max(square, 0.0) / v)
+            d[i] = np.sqrt(max(square, 0.0) / v) * (-1 if i == m - 1 else 1)
         noise = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
         rest = (cov - np.outer(d, d) * v) / np.outer(noise, noise)
         np.fill_diagonal(rest, 0)
@@ -159,7 +179,7 @@ def label_model(n: float, joint: np.ndarray, balance: float) -> LabelModel:
     clean = np.clip(rate - d * balance, 1e-4, 1 - 1e-4)
     silent = np.ones(m, bool)
     silent[live] = False
-    # Voters that hardly ever fire say nothing by silence; a lexicon word that fires is taken at a fixed rate.
+    # What hardly ever fires can't be estimated and is taken at a fixed rate.
     toxic[silent], clean[silent] = 2e-3, 1e-4
     correlation = np.where(trusted, 0, np.clip(rest, 0, 1))
     return LabelModel(balance, toxic, clean, correlation, 1 / (1 + correlation.sum(1)))
@@ -196,35 +216,49 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == HELD_OUT, F.lit(False))
 
 
-def word_shares(rows: DataFrame, most: int) -> list[tuple[int, float, float]]:
-    """``(word, toxic, clean)``: the ``most`` words that differ most between toxic and clean rows (``label``), with the rows that have them."""
+def row_counts(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+    """``word, n``: in how many rows each word or stem occurs; of those in ``wanted`` alone if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, row = words_in(*raw_texts(part.column("text")))
-                pairs = np.unique(np.stack([hashes.view(np.int64), row]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
-                label = part.column("label").to_numpy(zero_copy_only=False)[pairs[1]]
-                words, where = np.unique(pairs[0], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.bincount(where, label, len(words))), pa.array(np.bincount(where, 1 - label, len(words)))], names=["word", "toxic", "clean"])
-
-    total = rows.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
-    if not total[0] or not total[1]:
+                hashes, row = words_in(*raw_texts(part.column("text")), stems=True)
+                if wanted is not None:
+                    kept, _ = places_in(hashes, wanted)
+                    hashes, row = hashes[kept], row[kept]
+                order = np.lexsort((row, hashes))
+                hashes, row = hashes[order], row[order]
+                fresh = np.ones(len(hashes), bool)
+                fresh[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+                words, n = np.unique(hashes[fresh], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+    return rows.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_shares(rows: DataFrame, most: int) -> list[tuple[int, float, float]]:
+    """``(word, toxic, clean)``: the ``most`` words and stems that differ most between toxic and clean rows, with how many rows have them."""
+    size = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("label") > 0.5).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    if len(size) < 2:
         return []
-    counted = rows.mapInArrow(run, "word bigint, toxic double, clean double").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    expected = (F.col("toxic") + F.col("clean")) * (total[0] / (total[0] + total[1]))
-    # Signed root of the log-likelihood ratio, roughly: how far the toxic count is from what chance gives.
-    apart = (F.col("toxic") - expected) / F.sqrt(expected + 1)
-    return [tuple(r) for r in counted.orderBy(F.abs(apart).desc(), "word").limit(most).collect()]
+    toxic = row_counts(rows.filter("label > 0.5"), None).filter("n > 2").orderBy(F.desc("n"), "word").limit(LOOKED_AT).toPandas()
+    words = toxic["word"].to_numpy(np.int64)
+    clean = row_counts(rows.filter("label <= 0.5"), words.view(np.uint64)).toPandas().set_index("word")["n"].reindex(words, fill_value=0).to_numpy()
+    seen = toxic["n"].to_numpy()
+    expected = (seen + clean) * size[True] / (size[True] + size[False])
+    apart = (seen - expected) / np.sqrt(expected + 1)  # in deviations, about
+    best = np.lexsort((words, -np.abs(apart)))[:most]
+    return [(int(words[i]), float(seen[i]), float(clean[i])) for i in best]
 
 
 def features(data: np.ndarray, at: np.ndarray, learned: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Damped counts of the chosen words, then the voters."""
-    hashes, row = words_in(data, at)
-    counts = np.zeros((len(at) - 1, len(words)))
-    i, j = places_in(hashes, words)
-    np.add.at(counts, (row[i], j), 1)
-    return np.concatenate((np.log2(1 + counts), voted(data, at, learned, (hashes, row))), axis=1)
+    """Damped counts of the chosen words and stems, and of all words, then the voters."""
+    tokens = words_in(data, at, stems=True)
+    counts = np.zeros((len(at) - 1, len(words) + 1))
+    i, j = places_in(tokens[0], words)
+    np.add.at(counts, (tokens[1][i], j), 1)
+    counts[:, -1] = np.bincount(tokens[1], minlength=len(at) - 1)
+    return np.concatenate((np.log2(1 + counts), voted(data, at, learned, tokens)), axis=1)
 
 
 def fitted(x: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -249,24 +283,32 @@ class Scorer:
     intercept: float
 
 
+#: A clean document is labelled toxic no more often than this.
+MOST_WRONG = 0.02
+
+
 def given_label_odds(label: np.ndarray, odds: np.ndarray) -> np.ndarray:
     """Log-odds with the given labels as one more voter, whose error rates are estimated from the posteriors in turn."""
     out = odds + np.where(label > 0.5, 2.0, -2.0)
     for _ in range(10):
         q = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
         yes = np.clip((q * label).sum() / max(q.sum(), 1e-9), 0.01, 0.99)
-        wrong = np.clip(((1 - q) * label).sum() / max((1 - q).sum(), 1e-9), 0.001, 0.99)
+        wrong = np.clip(((1 - q) * label).sum() / max((1 - q).sum(), 1e-9), 0.001, MOST_WRONG)
         out = odds + label * np.log(yes / wrong) + (1 - label) * np.log((1 - yes) / (1 - wrong))
     return out
 
 
 def train(texts: DataFrame, labels: DataFrame, most: int = MAX_FIT) -> tuple[Scorer, LabelModel]:
     rows = training_rows(texts, labels, most)
-    told = word_shares(rows, LEARNED * 4)
-    learned = np.array([w for w, t, c in told if t > 4 * c + 3][:LEARNED], np.int64).view(np.uint64)
+    told = word_shares(rows, FEATURES)
+    words = np.array([w for w, _, _ in told], np.int64).view(np.uint64)
+    # Stems of one word have the same counts: one of them votes, and none for a word of the lexicon.
+    lexicon = set(_LEXICON.view(np.int64).tolist())
+    known = {(t, c) for w, t, c in told if w in lexicon}
+    fresh = {(t, c): w for w, t, c in reversed(told) if t > c and (t, c) not in known}
+    learned = np.array(list(reversed(fresh.values()))[:LEARNED], np.int64).view(np.uint64)
     balance = float(np.clip(rows.agg(F.avg("label")).first()[0] or 0.05, 0.01, 0.5))
     model = label_model(*joint_votes(texts, learned), balance)
-    words = np.array([w for w, _, _ in word_shares(rows, FEATURES)], np.int64).view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,10 +319,10 @@ def train(texts: DataFrame, labels: DataFrame, most: int = MAX_FIT) -> tuple[Sco
 
     sample = rows.mapInArrow(run, "label double, x array<float>").orderBy("label", "x").toPandas()  # at most ``most`` rows
     if not len(sample):
-        weights = np.log(model.fires_toxic / model.fires_clean) * model.weight
+        weights = np.append(0, np.log(model.fires_toxic / model.fires_clean) * model.weight)
         return Scorer(learned, words[:0], weights, float(np.log(balance / (1 - balance)))), model
     x = np.stack(sample["x"].to_numpy()).astype(np.float64)
-    odds = given_label_odds(sample["label"].to_numpy(), model.log_odds(x[:, len(words) :]))
+    odds = given_label_odds(sample["label"].to_numpy(), model.log_odds(x[:, len(words) + 1 :]))
     weights, intercept = fitted(x, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
     return Scorer(learned, words, weights, intercept), model
 
