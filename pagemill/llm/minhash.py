@@ -109,7 +109,7 @@ def packed(low: np.ndarray) -> np.ndarray:
     bits = mixed(low) & np.uint64((1 << LOW_BITS) - 1)
     per = 64 // LOW_BITS
     shift = (np.arange(HASHES, dtype=np.uint64) % np.uint64(per)) * np.uint64(LOW_BITS)
-    return np.bitwise_or.reduce((bits << shift).reshape(len(low), -1, per), axis=2).view(np.int64)
+    return np.bitwise_or.reduce((bits << shift).reshape(len(low), HASHES // per, per), axis=2).view(np.int64)
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
