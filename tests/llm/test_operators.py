@@ -1,0 +1,282 @@
+"""The operators against brute force, exact round trips, held-out accuracy and edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from compare import assert_same
+from pyspark.sql import functions as F
+
+from pagemill.llm import chat, decontam, fuzzy_lines, hilbert_ann, language_id, minhash, mixing, oracle, queries, secrets, toxicity
+
+FOLDER = "/root/testdata/sf0.001"
+WORDS = re.compile("[^\x20\x09-\x0d]+")
+
+
+@pytest.mark.parametrize("name", sorted(oracle.ORACLE_SQL))
+def test_sql(spark, name):
+    assert_same(queries.QUERIES[name](spark, FOLDER), oracle.ORACLE_SQL[name], FOLDER)
+
+
+def table(spark, name, folder=FOLDER):
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def roots(n, links):
+    up = list(range(n))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    return [find(i) for i in range(n)]
+
+
+# op1
+
+
+def test_secrets_whole_table(spark):
+    got = {r["doc_id"]: r for r in queries.op1_secrets(spark, FOLDER).collect()}
+    docs = table(spark, "documents").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        found = []
+        for m in re.finditer(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']? *[:=] *[\"']?([A-Za-z0-9+/_.=-]+)", d["text"]):
+            if len(m[2]) >= 6:
+                found.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+        found += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", d["text"]) if len(m[0]) >= 20]
+        found += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", d["text"]) if len(m[0]) >= 24]
+        written = ",".join(x for _, _, x in sorted(found))
+        assert got[d["doc_id"]]["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
+
+
+def test_secret_windows():
+    random_word = "q9Zk3LmX7vB2nR8tYw5Hc1Dg"
+    assert secrets.scan(f"see {random_word} here") and not secrets.scan("see 123e4567-e89b-12d3-a456-426614174000")
+    assert secrets.scan(None) == [] and secrets.scan("") == []
+
+
+# op3
+
+
+def test_language_id(spark):
+    got = queries.op3_language_id(spark, FOLDER)
+    right = got.join(table(spark, "documents").select("doc_id", "lang"), "doc_id").agg(F.avg((F.col("language") == F.col("lang")).cast("int"))).first()[0]
+    assert right > 0.97 and got.filter("kept").count() > 0.97 * got.count()
+
+
+def test_language_edges(spark, docs_of):
+    base = [(r["doc_id"] + 100, r["text"]) for r in table(spark, "documents").filter("lang = 'en'").limit(30).collect()]
+    docs = docs_of([(1, None), (2, ""), (3, "123 ..."), (None, base[0][1]), *base, base[0]]).withColumn("key", F.lit(1))
+    kept = language_id.kept_documents(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert not {1, 2, 3} & set(ids) and None in ids and ids.count(base[0][0]) == 2
+    assert language_id.kept_documents(docs.limit(0)).count() == 0
+
+
+# op4
+
+
+def shingle_set(text):
+    words = WORDS.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    docs = sorted(table(spark, "documents").select("doc_id", "text").collect())
+    sets = [shingle_set(d["text"]) for d in docs]
+    links = [(i, j) for i in range(len(docs)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    expected = {d["doc_id"]: docs[r]["doc_id"] for d, r in zip(docs, roots(len(docs), links), strict=True)}
+    got = minhash.near_duplicates(table(spark, "documents")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == expected
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == {d["doc_id"]: len(s) for d, s in zip(docs, sets, strict=True)}
+    left = minhash.without_copies(table(spark, "documents"))
+    assert {r["doc_id"] for r in left.collect()} == set(expected.values())
+
+
+def test_near_duplicate_edges(spark, docs_of):
+    docs = docs_of([(5, None), (6, ""), (7, " \t"), (1, "a b"), (2, "A  b"), (2, "A  b"), (None, "a b"), (9, "x " * 5000)])
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()]
+    assert sorted(x for x in got if x[0]) == [(1, 1, True), (2, 1, False), (2, 1, False), (5, 5, True), (6, 6, True), (7, 7, True), (9, 9, True)]
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+# op5
+
+
+def test_mixing_totals(spark):
+    rows = mixing.mix(table(spark, "documents")).join(table(spark, "documents").select("doc_id", "source"), "doc_id").collect()
+    taken, target = defaultdict(int), {}
+    for r in rows:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+
+
+def test_mixing_edges(spark, docs_of):
+    docs = docs_of([(1, None), (2, ""), (3, "a b c"), (None, "d")]).withColumn("source", F.when(F.col("doc_id") == 3, "x"))
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()} == {1: 0, 2: 0, 3: 3, None: 1}
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+# op6
+
+
+def test_neighbours_recall(spark):
+    rows = table(spark, "embeddings").collect()
+    x, ids = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows])
+    got = defaultdict(dict)
+    for r in queries.op6_hilbert_ann(spark, FOLDER).collect():
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    hits = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        best = [int(ids[i]) for i in np.lexsort((ids, d)) if i != q][:10]
+        hits, total = hits + len(set(best) & set(got[ids[q]])), total + 10
+        assert all(s == pytest.approx(d[np.flatnonzero(ids == v)[0]], abs=1e-12) for v, s in got[ids[q]].items())
+    assert hits / total >= 0.9
+
+
+def test_neighbour_edges(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0]), (7, [1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r["rank"], r["vec_id"]) for r in hilbert_ann.nearest(vectors, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 6), (2, 7), (3, 1)]
+    assert hilbert_ann.nearest(vectors.limit(0), F.lit(True)).count() == 0
+
+
+# op7
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_within_is_edit_distance():
+    rng = random.Random(3)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        most = rng.randint(0, 5)
+        assert fuzzy_lines.within(a, b, most) == (edits(a, b) <= most)
+
+
+def test_line_rows_are_the_lines():
+    texts = ["", "one line of words that is long enough\n\nx\nAnother line, with 123 numbers in it\n", "", "\n\nthe last line is also quite long"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0] + [len(t.encode()) for t in texts])
+    row, line, name, _, chars = fuzzy_lines.line_rows(data, at)
+    expected = [(i, k, len(fuzzy_lines.words_of(x))) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if len(fuzzy_lines.words_of(x)) >= fuzzy_lines.LEAST_CHARS]
+    assert list(zip(row.tolist(), line.tolist(), chars.tolist(), strict=True)) == expected and len(set(name.tolist())) == len(name)
+
+
+_RNG = random.Random(11)
+LONG = " ".join("".join(_RNG.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(_RNG.randint(4, 9))) for _ in range(80)) + " seventeen"
+
+
+def test_line_dedup(docs_of):
+    near = LONG.replace("seventeen", "seventeem")
+    docs = docs_of([(3, f"{LONG}\nmine three is a line of its own here"), (1, f"head\n{LONG.upper()}!"), (2, f"{near}\nhead\ntwo has this long line alone, surely"), (4, None), (5, ""), (None, LONG), (6, LONG), (6, LONG)])
+    out = fuzzy_lines.without_repeated_lines(docs.withColumn("line", F.lit("x")))
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in out.collect()}
+    assert got[1] == (f"head\n{LONG.upper()}!", 0) and got[3] == ("mine three is a line of its own here", 1)
+    assert got[2] == ("head\ntwo has this long line alone, surely", 1)
+    assert got[4] == (None, 0) and got[5] == ("", 0) and got[None] == (LONG, 0) and got[6] == ("", 1)
+    assert out.count() == 8 and fuzzy_lines.without_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_equal_lines_whole_table(spark):
+    """Of every group of equal normalised lines exactly one is left at most, and each removed line has a like one that stays."""
+    docs = {r["doc_id"]: r["text"] for r in table(spark, "documents").collect()}
+    out = {r["doc_id"]: r["text"] for r in fuzzy_lines.without_repeated_lines(table(spark, "documents")).collect()}
+    left = [fuzzy_lines.words_of(x) for t in out.values() for x in t.split("\n")]
+    long = [x for x in left if len(x) >= fuzzy_lines.LEAST_CHARS]
+    assert len(long) == len(set(long))
+    kept = set(long)
+    for i, t in docs.items():
+        for x in set(map(fuzzy_lines.words_of, t.split("\n"))) - set(map(fuzzy_lines.words_of, out[i].split("\n"))) - kept:
+            assert len(x) >= fuzzy_lines.LEAST_CHARS
+
+
+# op8
+
+
+def test_toxicity_held_out(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = queries.op8_toxicity(spark, folder).join(table(spark, "labels", folder), "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    toxic, clean = ([r["score"] for r in rows if r["held_out"] and r["toxic"] == t] for t in (1, 0))
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in clean]) > 0.9
+
+
+def test_toxicity_edges(spark, docs_of):
+    docs = docs_of([(1, None), (2, ""), (3, "you idiot moron scum"), (4, "a calm and friendly note"), (None, "x")])
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, labels).collect()}
+    assert len(got) == 5 and got[3] > got[4] and all(0 <= s <= 1 for s in got.values()) and got[1] == got[2]
+    assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
+# op9
+
+
+def test_passages_found_with_edits(spark, docs_of):
+    passage = "a fairly long benchmark question about rivers, mountains and the people who live between them"
+    edited = passage.replace("rivers", "rivorz").upper()
+    docs = docs_of([(1, f"before {passage} after"), (2, f"x\n{edited}\ny"), (3, "nothing of the kind in this text at all"), (4, None), (5, ""), (None, passage)])
+    bench = spark.createDataFrame([(10, passage), (11, None), (12, "short")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"], r["edits"]) for r in decontam.find_passages(docs, bench).collect()}
+    assert got == {(1, 10, 0), (2, 10, 2), (None, 10, 0)}
+    assert {r["doc_id"] for r in decontam.decontaminated(docs, bench).collect()} == {3, 4, 5}
+    assert decontam.decontaminated(docs, bench.limit(0)).count() == 6 and decontam.find_passages(docs.limit(0), bench).count() == 0
+
+
+def test_exact_passages_whole_table(spark):
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.find_passages(table(spark, "documents"), table(spark, "benchmark")).collect()}
+    flat = lambda t: " ".join(t.lower().split())
+    items = [(r["item_id"], flat(r["text"])) for r in table(spark, "benchmark").collect()]
+    exact = {(r["doc_id"], i) for r in table(spark, "documents").collect() for i, t in items if len(t) >= decontam.LEAST_CHARS and t in flat(r["text"])}
+    assert exact and exact <= found
+
+
+# op10
+
+
+def test_chat_digests(spark):
+    rows = defaultdict(list)
+    for r in table(spark, "conversations").collect():
+        rows[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
+    rows[-1] = [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]
+    got = {r["conv_id"]: r for r in queries.op10_chat(spark, FOLDER).collect()}
+    assert set(got) == set(rows)
+    for c, turns in rows.items():
+        turns.sort()
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in turns).encode()).hexdigest()
+        assert (got[c]["n_turns"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_chat_shares_beginnings(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (2, 0, "user", "hi"), (2, 1, "assistant", "b"), (2, 2, "user", None)]
+    turns, nodes = chat.build_tree(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    kept = sorted(nodes.collect(), key=lambda r: r["offset"])
+    assert len(kept) == 4 and turns.count() == 5 and len({r["root"] for r in kept}) == 1
+    assert [r["offset"] for r in kept] == [sum(x["length"] for x in kept[:i]) for i in range(4)]
+    first = kept[0]
+    assert all(r["attends"][0]["start"] == 0 and r["attends"][0]["end"] >= first["length"] for r in kept[1:])
+    for text in ("\\", "</s>", "<\\/s>", "[INST]\\\\", "<|x|>"):
+        assert chat.unescape(chat.escape(text)) == text and chat.read_segment(chat.segment("tool|>", text))[:2] == ("tool|>", text)
