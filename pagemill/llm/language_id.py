@@ -84,7 +84,8 @@ def trained(rows: DataFrame, languages: Sequence[str]) -> np.ndarray:
 
 
 def with_likelihoods(rows: DataFrame, model: np.ndarray, keep: Sequence[str]) -> DataFrame:
-    """``keep`` columns, ``n_grams``, and ``loglik``: one tempered log-likelihood a row of the model, relative to the best."""
+    """``keep`` columns, ``n_grams``, ``loglik`` (a tempered log-likelihood for each row of the model, relative to the best)
+    and ``heard``, the languages' probabilities by text alone (all 0 without trigrams)."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model.astype(np.float32))
 
@@ -96,19 +97,13 @@ def with_likelihoods(rows: DataFrame, model: np.ndarray, keep: Sequence[str]) ->
                 n = np.bincount(row, minlength=part.num_rows)
                 like = np.stack([np.bincount(row, weights=t[found], minlength=part.num_rows) for t in tables], 1) * TEMPER
                 like -= like.max(1, keepdims=True)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(tables)), pa.array(like.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n), lists], names=[*keep, "n_grams", "loglik"])
+                heard = np.exp(like[:, :-1] - like[:, :-1].max(1, keepdims=True)) * (n > 0)[:, None]
+                heard /= np.maximum(heard.sum(1, keepdims=True), 1)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (like, heard)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n), *lists], names=[*keep, "n_grams", "loglik", "heard"])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, n_grams bigint, loglik array<double>")
-
-
-def normalised(logs: Sequence[Column]) -> list[Column]:
-    """Probabilities from log weights."""
-    top = F.greatest(*logs)
-    weights = [F.exp(x - top) for x in logs]
-    total = sum(weights[1:], weights[0])
-    return [w / total for w in weights]
+    return rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, n_grams bigint, loglik array<double>, heard array<double>")
 
 
 def identify(rows: DataFrame, keep: Sequence[str], languages: Sequence[str] = LANGUAGES, kappa: float = KAPPA, noise: float = NOISE) -> DataFrame:
@@ -120,8 +115,7 @@ def identify(rows: DataFrame, keep: Sequence[str], languages: Sequence[str] = LA
     wanted = list(dict.fromkeys([*keep, "declared", "suffix", "host", "parent"]))
     k = range(len(languages))
     scored = with_likelihoods(rows, model, wanted)
-    text_only = normalised([F.col("loglik")[i] for i in k])
-    scored = staged(scored.select("*", *(F.when(F.col("n_grams") > 0, text_only[i]).otherwise(0.0).alias(f"p{i}") for i in k), (F.col("n_grams") > 0).cast("double").alias("one")), "languages")
+    scored = staged(scored.select("*", *(F.col("heard")[i].alias(f"p{i}") for i in k), (F.col("n_grams") > 0).cast("double").alias("one")), "languages")
     sums = [F.sum(f"p{i}").alias(f"s{i}") for i in k] + [F.sum("one").alias("n")]
     everyone = scored.agg(*sums).first()
     n = everyone["n"] or 0.0
@@ -149,17 +143,19 @@ def identify(rows: DataFrame, keep: Sequence[str], languages: Sequence[str] = LA
         drawn = [(F.greatest(F.coalesce(F.col(f"{column}_{i}"), F.col(f"p{i}")) - F.col(f"p{i}"), F.lit(0.0)) + kappa * drawn[i]) / (others + kappa) for i in k]
     prior = [F.log(d * (1 - noise)) for d in drawn] + [F.log(F.lit(noise))]
     logs = [F.col("loglik")[i] + parts[0][i] + parts[1][i] + prior[i] for i in range(len(languages) + 1)]
-    logged = fused.withColumn("logs", F.array(*logs)).withColumn("post", F.array(*normalised([F.col("logs")[i] for i in range(len(languages) + 1)])))
-    best = F.array_position("post", F.array_max("post")).cast("int")
+    logged = fused.withColumn("logs", F.array(*logs))
+    top = F.array_max("logs")
+    best = F.array_position("logs", top).cast("int")
+    # The best has weight 1 among the weights relative to it.
+    posterior = 1 / F.aggregate(F.transform("logs", lambda x: F.exp(x - top)), F.lit(0.0), lambda s, x: s + x)
     names = F.array(*(F.lit(x) for x in (*languages, "und")))
-    heard = F.slice("loglik", 1, len(languages))
     return logged.select(
         *keep,
         F.element_at(names, best).alias("language"),
-        F.array_max("post").alias("posterior"),
-        F.when(F.col("n_grams") > 0, F.element_at(names, F.array_position(heard, F.array_max(heard)).cast("int"))).alias("text_language"),
+        posterior.alias("posterior"),
+        F.when(F.col("n_grams") > 0, F.element_at(names, F.array_position("heard", F.array_max("heard")).cast("int"))).alias("text_language"),
         "n_grams",
-        ((F.col("n_grams") > 0) & (best <= len(languages)) & (F.array_max("post") >= LEAST_POSTERIOR)).alias("kept"),
+        ((F.col("n_grams") > 0) & (best <= len(languages)) & (posterior >= LEAST_POSTERIOR)).alias("kept"),
     )
 
 
