@@ -115,6 +115,14 @@ def candidates(points: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
     return [(int(i), int(b * (index.budget[i] + 1)), int((b + 2) * (index.budget[i] + 1))) for i, b in zip(item[good], band[good], strict=True)]
 
 
+def exact(points: np.ndarray, passage: np.ndarray, low: int, high: int) -> int | None:
+    """The first diagonal of the band along which the passage occurs without any edit."""
+    last = min(high, len(points) - len(passage) + 1)
+    begins = np.arange(max(0, low), max(0, low, last))
+    begins = begins[points[begins] == passage[0]]
+    return next((int(b) for b in begins if np.array_equal(points[b : b + len(passage)], passage)), None)
+
+
 def within(points: np.ndarray, passage: np.ndarray, low: int, high: int, budget: int) -> bool:
     """Whether the passage ends anywhere in the band's text with at most ``budget`` edits.
 
@@ -185,7 +193,11 @@ def matches(text: str | None, index: Index) -> list[tuple[int, int, int, int]]:
         piece = points[begin : begin + PIECE + reach]
         for item, low, high in candidates(piece, index):
             passage, budget = index.passages[item], int(index.budget[item])
-            if within(piece, passage, low, high, budget) and (hit := aligned(piece, passage, low, high, budget)):
+            if (at := exact(piece, passage, low, high)) is not None:
+                hit = (0, at, at + len(passage))
+            else:
+                hit = aligned(piece, passage, low, high, budget) if within(piece, passage, low, high, budget) else None
+            if hit:
                 edits, s, e = hit
                 found.setdefault(item, []).append((edits, begin + s, begin + e))
     out = []
@@ -198,6 +210,21 @@ def matches(text: str | None, index: Index) -> list[tuple[int, int, int, int]]:
     return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
+def contains(text: str | None, index: Index) -> bool:
+    """Whether any passage is found; ends at the first one, and needs no alignment."""
+    if not text:
+        return False
+    points, _ = folded(text)
+    reach = 2 * max(len(p) for p in index.passages)
+    for begin in range(0, max(1, len(points)), PIECE):
+        piece = points[begin : begin + PIECE + reach]
+        for item, low, high in candidates(piece, index):
+            passage = index.passages[item]
+            if exact(piece, passage, low, high) is not None or within(piece, passage, low, high, int(index.budget[item])):
+                return True
+    return False
+
+
 def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
     """Indexes of at most ``block_chars`` characters (or one passage) each; one block's texts are on the driver at a time."""
     rows = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).filter("text is not null")
@@ -237,7 +264,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLO
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not matches(t.as_py(), shared.value) for t in batch.column(batch.schema.get_field_index("text"))]
+                clean = [not contains(t.as_py(), shared.value) for t in batch.column(batch.schema.get_field_index("text"))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(run, out.schema)
