@@ -212,6 +212,47 @@ def test_equal_lines_whole_table(spark):
             assert len(x) >= fuzzy_lines.LEAST_CHARS
 
 
+def test_near_lines_against_all_pairs(docs_of):
+    """Lines of 4 to 60 words, each with a copy whose edits go up to the rate: links by all pairs, and no others."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzäé"
+    lines = []
+    for i in range(240):
+        line = " ".join("".join(rng.choice(letters) for _ in range(rng.randint(4, 9))) for _ in range(4 + i % 57))
+        most = int(fuzzy_lines.EDIT_RATE * len(line))
+        copy = list(line)
+        for at in rng.sample(range(len(copy)), rng.randint(1, max(1, most - 1))):
+            copy[at] = rng.choice(("", rng.choice(letters), copy[at] + rng.choice(letters)))
+        lines += [line, "".join(copy)]
+    plain = [fuzzy_lines.words_of(x) for x in lines]
+    pairs = [(i, j) for i in range(len(plain)) for j in range(i) if fuzzy_lines.within(plain[i], plain[j], int(fuzzy_lines.EDIT_RATE * max(len(plain[i]), len(plain[j]))))]
+    root = roots(len(plain), pairs)
+    gone = {r["doc_id"] for r in fuzzy_lines.without_repeated_lines(docs_of(enumerate(lines))).filter("n_removed > 0").collect()}
+    expected = {i for i, r in enumerate(root) if r != i}
+    assert len(expected) > 200 and gone <= expected and len(gone) >= 0.98 * len(expected), (len(gone), len(expected))
+
+
+def test_parities_reject_no_near_line(spark):
+    """No pair within the edit rate is rejected before it is verified."""
+    rng = random.Random(6)
+    texts = []
+    for n in range(20, 320, 3):
+        line = "x" + "".join(rng.choice("abcdeé ") for _ in range(n)) + "x"
+        copy = list(line)
+        for at in rng.sample(range(len(copy)), len(copy) // 10):
+            copy[at] = rng.choice("pqrüs")
+        texts += [line, "".join(copy)]
+    data = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    row, line, _, _, chars = fuzzy_lines.line_rows(data, np.array([0, len(data)]))
+    codes, starts = fuzzy_lines.code_points(data, np.array([0, len(data)]), row, line)
+    odd = dict(zip(line.tolist(), zip(fuzzy_lines.parities(codes, starts), chars.tolist(), strict=True), strict=True))
+    for k in range(0, len(texts), 2):
+        a, b = map(fuzzy_lines.words_of, texts[k : k + 2])
+        most = int(fuzzy_lines.EDIT_RATE * max(len(a), len(b)))
+        if k in odd and k + 1 in odd and fuzzy_lines.within(a, b, most):
+            assert sum(int(x & (2**64 - 1)).bit_count() for x in (odd[k][0] ^ odd[k + 1][0]).tolist()) <= 6 * most
+
+
 # op8
 
 
