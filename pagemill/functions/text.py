@@ -40,12 +40,20 @@ def cer(ref: Column, hyp: Column) -> Column:
     return _rate(ref, hyp, F.levenshtein(ref, hyp), F.length(ref))
 
 
+def word_code(i: Column) -> Column:
+    """The character for the i-th word: from 0x100 on without surrogates and byte order mark; with more words than there are it fails, so none collide."""
+    skipped = F.when(i < 0xD800 - 0xFF, 0).when(i < 0xFEFF - 0x8FF, 0x800).otherwise(0x801)
+    point = F.when(i > 0x10FFFF - 0x900, F.raise_error(F.lit("too many distinct words in a pair"))).otherwise(i + 0xFF + skipped)
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+
 def wer(ref: Column, hyp: Column) -> Column:
-    """Word error rate of normalised texts: each distinct word of a pair becomes one character, then characters are compared."""
+    """Word error rate of normalised texts: each distinct word of a pair becomes one code point, then these are compared."""
     words = lambda t: F.split(t, " ")
     known = F.array_distinct(F.concat(words(ref), words(hyp)))
-    coded = lambda t: F.array_join(F.transform(words(t), lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 255), 4, "0")), "UTF-16BE")), "")
-    return _rate(ref, hyp, F.levenshtein(coded(ref), coded(hyp)), F.size(words(ref)))
+    coded = lambda k, t: F.array_join(F.transform(words(t), lambda w: word_code(F.array_position(k, w))), "")
+    edits = F.transform(F.array(known), lambda k: F.levenshtein(coded(k, ref), coded(k, hyp)))[0]  # so that the words are listed once a pair
+    return _rate(ref, hyp, edits, F.size(words(ref)))
 
 
 def word_f1(ref: Column, hyp: Column) -> Column:

@@ -326,9 +326,17 @@ def text_normalize(spark, d):
 
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring turns as reference and hypothesis: their first 120 ASCII characters, normalised."""
-    short = lambda c: text.normalize(F.substring(text.ascii_only(F.col(c)), 1, 120))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", short("text").alias("ref"))
+    """Neighbouring turns as reference and hypothesis: their first 120 ASCII characters, normalised, as the SQL has them."""
+    return paired_turns(spark, d, text.normalize(F.substring(text.ascii_only(F.col("text")), 1, 120)))
+
+
+def whole_turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring turns as reference and hypothesis, whole and with all their letters."""
+    return paired_turns(spark, d, text.normalize(text.nfkc(F.col("text"))))
+
+
+def paired_turns(spark: SparkSession, d: str, normal: Column) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id", "turn", normal.alias("ref"))
     later = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp"))
     return rows.join(later, ["conv_id", "turn"])
 
@@ -357,6 +365,21 @@ def word_f1_pairs(spark, d):
     return turn_pairs(spark, d).select("conv_id", "turn", r6(text.word_f1(F.col("ref"), F.col("hyp"))).alias("word_f1"))
 
 
+@query()
+def cer_whole(spark, d):
+    return whole_turn_pairs(spark, d).select("conv_id", "turn", F.length("ref").cast("bigint").alias("ref_chars"), r6(text.cer(F.col("ref"), F.col("hyp"))).alias("cer"))
+
+
+@query()
+def wer_whole(spark, d):
+    return whole_turn_pairs(spark, d).select("conv_id", "turn", r6(text.wer(F.col("ref"), F.col("hyp"))).alias("wer"))
+
+
+@query()
+def word_f1_whole(spark, d):
+    return whole_turn_pairs(spark, d).select("conv_id", "turn", r6(text.word_f1(F.col("ref"), F.col("hyp"))).alias("word_f1"))
+
+
 @query(r"""SELECT lang, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(line, '[(){};=\[\]]|^\s|^(import|def|class|return|for|while|try|except|SELECT|UPDATE|CREATE)\b') AND NOT ends_with(line, '.')) AS n_code
 FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY lang""")
 def code_line_classify(spark, d):
