@@ -325,6 +325,12 @@ def text_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", text.normalize(text.ascii_only(F.substring("text", 1, 500))).alias("normal"))
 
 
+@query()
+def text_normalize_whole(spark, d):
+    """Whole texts with all their letters; :func:`text_normalize` has the first 500 characters and ASCII only, as its SQL."""
+    return table(spark, d, "documents").select("doc_id", text.normalize(text.nfkc(F.col("text"))).alias("normal"))
+
+
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Neighbouring turns as reference and hypothesis: their first 120 ASCII characters, normalised, as the SQL has them."""
     return paired_turns(spark, d, text.normalize(F.substring(text.ascii_only(F.col("text")), 1, 120)))

@@ -48,6 +48,16 @@ def test_scores_of_whole_turns(spark, tmp_path):
         assert got["word_f1_whole"][i] == pytest.approx(f1(a, b), abs=1e-6)
 
 
+def test_normalize_whole(spark, tmp_path):
+    texts = ["“Größe” – ﬁn… • ein ∙ Punkt ☐", "word " * 300 + "‘last’ − * ½ Ａ", "", None, "a\u00a0\u2003b\tc"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["normal"] for r in catalog.text_normalize_whole(spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else normal(t) for i, t in enumerate(texts)}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["normal"] for r in catalog.text_normalize_whole(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {r["doc_id"]: None if r["text"] is None else normal(r["text"]) for r in docs}
+
+
 def test_more_words_than_code_units(spark):
     """Every word of a pair has a character of its own, past the 55,000th (surrogates) and the 65,000th (one code unit) too."""
     codes = spark.range(1, 80_001).select(text.word_code(F.col("id")).alias("c"))
