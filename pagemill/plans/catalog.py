@@ -415,7 +415,7 @@ v AS (SELECT *, b >= 50 AND b + length(word) <= 250 AS seen FROM p)
 SELECT doc_id, count(*) AS n_words, min(b)::BIGINT AS begins, max(b + length(word))::BIGINT AS ends FROM v WHERE seen GROUP BY doc_id""")
 def visible_run(spark, d):
     """Whole words within characters 50 to 250 of a text: along a line the visible words are one run."""
-    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 2000), " ")).alias("pos", "word"))
+    words = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
     before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     placed = words.withColumn("b", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0))).withColumn("e", F.col("b") + F.length("word"))
     return placed.filter("b >= 50 and e <= 250").groupBy("doc_id").agg(F.count("*").alias("n_words"), F.min("b").cast("bigint").alias("begins"), F.max("e").cast("bigint").alias("ends"))
@@ -483,10 +483,17 @@ def reading_order(spark, d):
 
 @query()
 def greedy_wrap(spark, d):
+    """The first 80 words, as its test has them; :func:`greedy_wrap_whole` wraps all."""
     words = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 80)
     return table(spark, d, "documents").select("doc_id", arrays.wrapped_lines(words, 40).alias("n_lines"))
 
 
+@query()
+def greedy_wrap_whole(spark, d):
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    return table(spark, d, "documents").select("doc_id", arrays.wrapped_lines(words, 40).alias("n_lines"))
+
+
 # Arrays
 
 

@@ -58,6 +58,22 @@ def test_normalize_whole(spark, tmp_path):
     assert got == {r["doc_id"]: None if r["text"] is None else normal(r["text"]) for r in docs}
 
 
+def test_greedy_wrap_whole(spark):
+    """Every word is wrapped, far past the 80th too."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r["doc_id"]: r["n_lines"] for r in catalog.greedy_wrap_whole(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == texts.keys() and max(len(t.split()) for t in texts.values() if t) > 80
+    for i, t in texts.items():
+        used = lines = 0
+        for word in [w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w] if t is not None else []:
+            if used and used + 1 + len(word) <= 40:
+                used += 1 + len(word)
+            else:
+                lines += -(-len(word) // 40)
+                used = (len(word) - 1) % 40 + 1
+        assert got[i] == (None if t is None else lines)
+
+
 def test_more_words_than_code_units(spark):
     """Every word of a pair has a character of its own, past the 55,000th (surrogates) and the 65,000th (one code unit) too."""
     codes = spark.range(1, 80_001).select(text.word_code(F.col("id")).alias("c"))
