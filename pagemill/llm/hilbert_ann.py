@@ -75,6 +75,7 @@ def curve_keys(rows: DataFrame, length: int, spread: tuple[np.ndarray, np.ndarra
     """``vec_id, embedding, key`` with one row a curve; ``spread`` is the mean and deviation of each component."""
     rng = np.random.default_rng(seed)
     frames = [(np.linalg.qr(rng.normal(size=(length, min(dims, length))))[0], rng.uniform(0, 1, min(dims, length))) for _ in range(curves)]
+    turns = np.random.default_rng(seed + 1).normal(size=(length, curves))  # order within a cell, another on each curve
     mean, scale = spread
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,14 +84,14 @@ def curve_keys(rows: DataFrame, length: int, spread: tuple[np.ndarray, np.ndarra
                 continue
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, length)
             x = (flat - mean) / scale
-            keys = []
+            keys, fine = [], x @ turns
             for turn, shift in frames:
                 y = np.clip((x @ turn + 4) / 8, 0, 1)  # four deviations to either side
                 cells = np.minimum(((y + shift) / 2 * (1 << bits)).astype(np.int64), (1 << bits) - 1)
                 keys.append(hilbert_key(cells, bits))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(np.stack(keys, 1).tolist(), pa.list_(pa.int64()))], names=["vec_id", "embedding", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(np.stack(keys, 1).tolist(), pa.list_(pa.int64())), pa.array(fine.tolist(), pa.list_(pa.float64()))], names=["vec_id", "embedding", "keys", "fine"])
 
-    return rows.mapInArrow(run, "vec_id bigint, embedding array<double>, keys array<bigint>")
+    return rows.mapInArrow(run, "vec_id bigint, embedding array<double>, keys array<bigint>, fine array<double>")
 
 
 def on_curves(keyed: DataFrame) -> DataFrame:
@@ -99,9 +100,9 @@ def on_curves(keyed: DataFrame) -> DataFrame:
     The sorted rows are staged with a number that follows the order; sizes of the sorted pieces give
     each piece's first place, and a window inside a piece the rest.
     """
-    long = keyed.select("vec_id", F.posexplode("keys").alias("curve", "key"))
+    long = keyed.select("vec_id", F.posexplode(F.arrays_zip("keys", "fine")).alias("curve", "at")).select("vec_id", "curve", F.col("at.keys").alias("key"), F.col("at.fine").alias("fine"))
     pieces = max(long.sparkSession.sparkContext.defaultParallelism, int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = long.repartitionByRange(pieces, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
+    ordered = long.repartitionByRange(pieces, "curve", "key", "fine", "vec_id").sortWithinPartitions("curve", "key", "fine", "vec_id")
     marked = staged(ordered.select("curve", "vec_id", F.monotonically_increasing_id().alias("mark")), "curves").withColumn("piece", F.shiftright("mark", 33))
     sizes = marked.groupBy("curve", "piece").agg(F.count("*").alias("n"), F.min("mark").alias("first"))
     before = Window.partitionBy("curve").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,19 +119,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = CUR
     if not lengths:
         return vectors.sparkSession.createDataFrame([], empty)
     length = lengths[0]["length"]
-    rows = good.filter(F.size("embedding") == length)
+    rows = staged(good.filter(F.size("embedding") == length), "rows")
     by_component = rows.select(F.posexplode("embedding")).groupBy("pos").agg(F.avg("col"), F.stddev_pop("col")).orderBy("pos").collect()
     mean = np.array([r[1] for r in by_component])
     scale = np.array([r[2] if r[2] > 1e-12 else 1.0 for r in by_component]) * 1.0
-    keyed = staged(curve_keys(rows.select("vec_id", "embedding"), length, (mean, scale), curves, dims, bits, seed), "vectors")
+    # Equal vectors are one node; ``low`` is its smallest vec_id. The nodes are searched, and those found stand for their first k + 1 rows.
+    nodes = staged(rows.groupBy("embedding").agg(F.min("vec_id").alias("low")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    own = staged(rows.join(nodes, "embedding").select("node", "vec_id", "asks"), "own")
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
+    firsts = own.select("node", "vec_id").distinct().withColumn("nth", nth).filter(F.col("nth") <= k + 1).select("node", "vec_id")
+    keyed = staged(curve_keys(nodes.select(F.col("node").alias("vec_id"), "embedding"), length, (mean, scale), curves, dims, bits, seed), "vectors")
     n = keyed.count()
     reach = max(k, math.ceil(n * window / 2))
     places = staged(on_curves(keyed), "places")
-    asked = rows.filter("asks").select("vec_id").distinct()
+    seeking = own.filter("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("node").alias("of"))
+    asked = seeking.select(F.col("of").alias("vec_id")).distinct()
     chunks = max(1, math.ceil(asked.count() * (2 * reach + block_rows) / max(n, 1) / QUERY_ROWS))
     chunk = F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")  # of the same type as on the other side, for equal hashes
     cells = places.withColumn("block", F.floor(F.col("position") / block_rows))
-    body = keyed.select("vec_id", "embedding")
+    body = nodes.select(F.col("node").alias("vec_id"), "embedding", "low")
     members = cells.join(body, "vec_id").withColumn("chunk", F.explode(F.array(*map(F.lit, range(chunks)))))
     first, last = (F.floor(F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col("position") + s)) / block_rows) for s in (-reach, reach))
     seekers = (
@@ -141,14 +148,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = CUR
     def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
-            ids, at = left["vec_id"].to_numpy(), left["position"].to_numpy()
+            ids, at, low = (left[c].to_numpy() for c in ("vec_id", "position", "low"))
             x = left["embedding"].combine_chunks().flatten().to_numpy().reshape(len(ids), length)
             qids, qat = right["vec_id"].to_numpy(), right["position"].to_numpy()
             q = right["embedding"].combine_chunks().flatten().to_numpy().reshape(len(qids), length)
             for i in range(len(qids)):
-                near = np.flatnonzero((np.abs(at - qat[i]) <= reach) & (ids != qids[i]))
+                near = np.flatnonzero(np.abs(at - qat[i]) <= reach)
                 score = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-                best = np.lexsort((ids[near], score))[:k]
+                best = np.lexsort((low[near], score))[: k + 1]
                 out["query_id"] += [qids[i]] * len(best)
                 out["vec_id"] += ids[near][best].tolist()
                 out["score"] += score[best].tolist()
@@ -156,8 +163,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = CUR
 
     # New names for one side: both come from the same staged rows.
     seekers = seekers.select(*(F.col(c).alias(c) for c in ("vec_id", "embedding", "position", "curve", "block", "chunk")))
-    members = members.select("vec_id", "embedding", "position", "curve", "block", "chunk")
+    members = members.select("vec_id", "embedding", "position", "curve", "block", "chunk", "low")
     sides = ("curve", "block", "chunk")
     met = members.groupBy(*sides).cogroup(seekers.groupBy(*sides)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return met.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = Window.partitionBy("of").orderBy("score", "low")
+    found = met.distinct().select(F.col("query_id").alias("of"), F.col("vec_id").alias("node"), "score").join(nodes.select("node", "low"), "node")
+    found = found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1)
+    near = found.select("of", "node", "score").join(firsts, "node").join(seeking, "of").filter("vec_id != query_id")
+    return near.select("query_id", "vec_id", "score").distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

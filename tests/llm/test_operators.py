@@ -155,6 +155,25 @@ def test_neighbour_edges(spark):
     assert hilbert_ann.nearest(vectors.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_copies_and_clusters(spark):
+    """A third of the rows are copies of one vector, a third are a tight cluster, by turns; against brute force."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 16))
+    x[::3] = x[0]
+    x[1::3] = x[1] + 0.03 * rng.normal(size=(500, 16))
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    got = defaultdict(dict)
+    for r in hilbert_ann.nearest(vectors, F.col("vec_id") % 25 == 0).collect():
+        got[r["query_id"]][r["rank"]] = r["vec_id"]
+    hits = defaultdict(list)
+    for q in range(0, 1500, 25):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        best = [i for i in np.lexsort((np.arange(1500), d)).tolist() if i != q][:10]
+        hits[q % 3].append(len(set(best) & set(got[q].values())) / 10)
+        assert q % 3 or [got[q][i] for i in range(1, 11)] == best
+    assert min(np.mean(h) for h in hits.values()) >= 0.9, {c: np.mean(h) for c, h in hits.items()}
+
+
 # op7
 
 
