@@ -114,7 +114,9 @@ def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Col
         hubs = staged(live.groupBy("key").agg(F.min_by(F.struct(*names, "component"), order).alias("hub")).select("key", "hub.*"), "hubs")
         x, y = hubs.alias("x"), live.alias("y")
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & alike("x.", "y."))
-        fresh, found = _settled(met, tried, confirm)
+        # Of the hubs of its buckets, each member meets one a round.
+        one = met.groupBy(F.col("y.id").alias("id")).agg(F.min("x.id").alias("hub"))
+        fresh, found = _settled(one.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), tried, confirm)
         dropped(hubs)
         if fresh is None:
             break
@@ -126,16 +128,17 @@ def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Col
     live = _open(rows, groups)
     x, y = live.alias("x"), live.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    fresh, found = _settled(x.join(y, across & alike("x.", "y.")), tried, confirm)
+    met = x.join(y, across & alike("x.", "y.")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    fresh, found = _settled(met, tried, confirm)
     if fresh is not None:
         links = found if links is None else links.unionByName(found)
     dropped(rows)
     return links if links is not None else rows.sparkSession.createDataFrame([], T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType)]))
 
 
-def _settled(met: DataFrame, tried: DataFrame | None, confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
-    """The pairs of a join that are new, and of these the confirmed ones; nothing if none is new."""
-    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+def _settled(pairs: DataFrame, tried: DataFrame | None, confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
+    """The pairs that are new, and of these the confirmed ones; nothing if none is new."""
+    pairs = pairs.distinct()
     fresh = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     return (None, None) if fresh.isEmpty() else (fresh, staged(confirm(fresh), "links"))
 
