@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import connected_components, crowded, dropped, linked, size_buckets, small, staged, unused
+from pagemill.llm.shared import connected_components, crowded, dropped, linked, small, staged, unused
 
 SHINGLE, THRESHOLD = 5, 75
 BANDS, ROWS, LOW_BITS, HASHES = 32, 4, 4, 256
@@ -214,7 +214,7 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = staged(first.select("copy", "first.*", F.monotonically_increasing_id().alias("id")), "firsts")
     at = rows.join(firsts, ["copy", "doc_id", "version"]).dropDuplicates(["copy", "doc_id", "version"])
     nodes = staged(at.select("id", "doc_id", "version", F.col("n_shingles").alias("n"), "bands", *(F.col("low_bits")[i].alias(w) for i, w in enumerate(WORDS))), "nodes")
-    buckets = size_buckets(crowded(nodes.select(F.explode("bands").alias("key"), F.col("n").alias("size"), "id"), 1 - THRESHOLD / 100), 1 - THRESHOLD / 100)
+    buckets = staged(crowded(nodes.select(F.explode("bands").alias("key"), F.col("n").alias("size"), "id"), 1 - THRESHOLD / 100), "buckets").select("key", "id")
     sets = whole_sets(docs, nodes.join(buckets.select("id").distinct(), "id").select("id", "doc_id", "version"))
     links = linked(buckets, nodes.select("id", "n", *WORDS), alike, lambda pairs: confirmed(pairs, sets))
     dropped(sets)

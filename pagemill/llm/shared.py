@@ -79,20 +79,8 @@ def crowded(keyed: DataFrame, rate: float) -> DataFrame:
     return ordered.mapInArrow(run, "key bigint, size bigint, id bigint")
 
 
-def size_buckets(rows: DataFrame, rate: float) -> DataFrame:
-    """``key, id``: each key's rows by two overlapping classes of size, of which sizes within ``rate`` share one; only buckets of two or more ids."""
-    half = float(-np.log(1 - rate) * 1.001)
-    place = F.log(F.col("size")) / half
-    classes = F.array(F.floor(place / 2) * 2, F.floor((place + 1) / 2) * 2 + 1)
-    labelled = staged(rows.select("id", F.explode(F.transform(classes, lambda c: F.xxhash64("key", c))).alias("key")), "labels")
-    several = labelled.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
-    buckets = staged(labelled.join(staged(several, "keys"), "key").select("key", "id").distinct(), "buckets")
-    dropped(labelled)
-    return buckets
-
-
-#: Star passes with other hubs before pairs are looked at one by one.
-STAR_ROUNDS = 4
+#: Star passes go on while they link at least this share of the pairs they try, and so many at most.
+STAR_ROUNDS, FRUITFUL = 6, 0.1
 
 
 def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -101,7 +89,7 @@ def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Col
     ``buckets`` has columns ``key`` and ``id``; ``facts`` has by ``id`` the columns that ``alike("x.", "y.")`` reads.
     First each bucket's members meet its hub: the smallest one, then by turns one at random. Links contract members to
     components, and pairs within a component change nothing, so a bucket of m near copies costs about m pairs. When a round
-    brings no link, what is left are members of one bucket that aren't connected: all their pairs meet in a join
+    brings few links, what is left are members of one bucket that aren't connected: all their pairs meet in a join
     whose condition rejects before a row is made. That join alone can grow with the square of a bucket, by those of its
     members that look alike and aren't linked.
     """
@@ -121,10 +109,14 @@ def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Col
         if fresh is None:
             break
         tried = fresh if tried is None else tried.unionByName(fresh)
-        if found.isEmpty():
+        n = found.count()
+        if n:
+            links = found if links is None else links.unionByName(found)
+            groups = connected_components(links)
+        if turn:
+            dropped(live)
+        if n < FRUITFUL * fresh.count():
             break
-        links = found if links is None else links.unionByName(found)
-        groups = connected_components(links)
     live = _open(rows, groups)
     x, y = live.alias("x"), live.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
@@ -149,7 +141,9 @@ def _open(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
         return rows.withColumn("component", F.col("id"))
     labelled = staged(rows.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
     spans = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    return staged(labelled.join(staged(spans, "spans"), "key"), "open")
+    out = staged(labelled.join(staged(spans, "spans"), "key"), "open")
+    dropped(labelled)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
