@@ -14,7 +14,8 @@ space; reported spans are code points of the original text, end exclusive.
 
 Defined results: null and empty texts and items match nothing; passages under ``LEAST_CHARS`` characters
 are no evidence and are left out; repeated rows of documents repeat their rows; repeated item ids
-are each searched; empty tables give empty tables. Long texts are read whole, in overlapping pieces.
+are each searched; ties between overlapping finds of an item go to fewer edits, then the earlier; other columns, whatever their names,
+don't matter; empty tables give empty tables. Long texts are read whole, in overlapping pieces, and monotonous ones in bounded memory.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 Q, EDIT_RATE, LEAST_CHARS = 8, 0.1, 32
 BLOCK_CHARS = 8_000_000
 PIECE = 1 << 18
+#: So many pairs of a gram and its place in a passage are counted at a time (a gram's own places always together).
+RUN = 1 << 20
 
 _MULTIPLY = np.uint64(0xBF58476D1CE4E5B9)
 #: By rule: the lower-case form of each character of the basic plane that has a single one; whitespace is a space.
@@ -104,12 +107,20 @@ def candidates(points: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
     if not len(at):
         return []
     counts = index.first[where + 1] - index.first[where]
-    flat = np.repeat(index.first[where] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    items, diagonals = index.items[flat], np.repeat(at, counts) - index.places[flat]
-    step = index.budget[items] + 1
-    band = diagonals // step
-    key = np.concatenate((items, items)) * (1 << 32) + np.concatenate((band, band - 1)) + (1 << 31)
-    keys, n = np.unique(key, return_counts=True)
+    # Grams times their places in passages may be many in a monotonous text: they are counted in runs of a bounded number.
+    keys, n = np.array([], np.int64), np.array([], np.int64)
+    cuts = np.searchsorted(np.cumsum(counts), np.arange(RUN, counts.sum() + RUN, RUN), side="left") + 1
+    begin = 0
+    for end in np.unique(np.minimum(cuts, len(at))):
+        times = counts[begin:end]
+        flat = np.repeat(index.first[where[begin:end]] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        items = index.items[flat]
+        band = (np.repeat(at[begin:end], times) - index.places[flat]) // (index.budget[items] + 1)
+        key = items * (1 << 32) + band + (1 << 31)
+        some, m = np.unique(np.concatenate((key, key - 1)), return_counts=True)
+        both, where_in = np.unique(np.concatenate((keys, some)), return_inverse=True)
+        keys, n = both, np.bincount(where_in, weights=np.concatenate((n, m))).astype(np.int64)
+        begin = end
     item, band = keys >> 32, (keys & 0xFFFFFFFF) - (1 << 31)
     good = n >= index.bound[item]
     return [(int(i), int(b * (index.budget[i] + 1)), int((b + 2) * (index.budget[i] + 1))) for i, b in zip(item[good], band[good], strict=True)]

@@ -9,9 +9,10 @@ are taken. Each block returns the nearest few, and the merge over blocks and cur
 production value is set for isotropic noise in 64 dimensions, the worst case, and the README gives
 the recall measured against brute force.
 
-Defined results: vectors that are null, empty, zero, of another length than the first kept one or with
+Defined results: vectors that are null, empty, zero, of another length than most (of two, the shorter) or with
 null or non-finite components take no part; ties go to the smaller vec_id; of repeated vec_ids each
-row is a candidate, and a query's own id is none; empty tables give empty tables.
+row is a candidate, and a query's own id is none; repeated rows are candidates each; other
+columns, whatever their names, don't matter; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = CUR
     nodes = staged(rows.groupBy("embedding").agg(F.min("vec_id").alias("low")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     own = staged(rows.join(nodes, "embedding").select("node", "vec_id", "asks"), "own")
     nth = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
-    firsts = own.select("node", "vec_id").distinct().withColumn("nth", nth).filter(F.col("nth") <= k + 1).select("node", "vec_id")
+    firsts = own.select("node", "vec_id").withColumn("nth", nth).filter(F.col("nth") <= k + 1).select("node", "vec_id")
     keyed = staged(curve_keys(nodes.select(F.col("node").alias("vec_id"), "embedding"), length, (mean, scale), curves, dims, bits, seed), "vectors")
     n = keyed.count()
     reach = max(k, math.ceil(n * window / 2))
@@ -171,4 +172,4 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = CUR
     found = met.distinct().select(F.col("query_id").alias("of"), F.col("vec_id").alias("node"), "score").join(nodes.select("node", "low"), "node")
     found = found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1)
     near = found.select("of", "node", "score").join(firsts, "node").join(seeking, "of").filter("vec_id != query_id")
-    return near.select("query_id", "vec_id", "score").distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return near.select("query_id", "vec_id", "score").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -15,7 +15,8 @@ Text evidence is tempered by ``TEMPER``, as overlapping trigrams say the same th
 
 Defined results: text that is null or has no letters has no text evidence, gets the most likely language of the
 other evidence and is not kept; null or unseen declarations, suffixes and hosts are no evidence; ties go to the first
-language by name; repeated rows give repeated results; an empty table gives an empty table.
+language by name; repeated rows give repeated results; long texts count whole; other columns, whatever their names, don't matter; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import raw_texts, slices, small, staged
+from pagemill.llm.shared import raw_texts, slices, small, staged, unused
 
 LANGUAGES = ("de", "en", "es", "fr")
 BINS_BITS = 14
@@ -159,12 +160,23 @@ def identify(rows: DataFrame, keep: Sequence[str], languages: Sequence[str] = LA
     )
 
 
+def content(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes, of one and the same content: doc_id, text, lang and source, nulls told apart from everything else."""
+    own = [F.col("doc_id").cast("string"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string")]
+    own += [F.isnull(c) for c in own]
+    return [F.xxhash64(F.lit(i), *own) for i in (1, 2)]
+
+
 def of_documents(docs: DataFrame) -> DataFrame:
-    """Documents as evidence: ``lang`` is what they declare, ``source`` their host; they have no address. ``key`` names a row by its content."""
-    text = F.col("text").cast("string")
+    """Documents as evidence: ``lang`` is what they declare, ``source`` their host. If the source is a host name, its last label is the suffix
+    and what follows its first label the parent; else the parent is the source without digits at its end. ``key, other_key`` name a row by its content."""
+    source = F.col("source").cast("string")
+    dotted = source.contains(".")
+    key, other = content(docs)
     return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", text, "lang", "source").alias("key"), text.alias("text"), F.col("lang").cast("string").alias("declared"),
-        F.lit(None).cast("string").alias("suffix"), F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("parent"),
+        F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("key"), other.alias("other_key"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("declared"),
+        F.when(dotted, F.element_at(F.split(source, r"\."), -1)).alias("suffix"), source.alias("host"),
+        F.when(dotted, F.regexp_extract(source, r"^[^.]*\.(.*)$", 1)).otherwise(F.regexp_replace(source, r"[0-9]+$", "")).alias("parent"),
     )
 
 
@@ -182,8 +194,9 @@ def of_pages(pages: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents whose language is identified, with their own columns. Rejected ones are named by the hash of their content."""
-    verdicts = identify(of_documents(docs), ["key"])
-    rejected = staged(verdicts.filter(~F.col("kept")).select(F.col("key").alias("_rejected")).distinct(), "rejected")
-    content = F.xxhash64("doc_id", F.col("text").cast("string"), "lang", "source")
-    return docs.join(small(rejected), content == F.col("_rejected"), "left_anti")
+    """The documents whose language is identified, with their own columns. Rejected ones are named by two hashes of their content."""
+    one, two = unused(docs.columns, "key", "other_key")
+    verdicts = identify(of_documents(docs), ["key", "other_key"])
+    rejected = staged(verdicts.filter(~F.col("kept")).select(F.col("key").alias(one), F.col("other_key").alias(two)).distinct(), "rejected")
+    key, other = content(docs)
+    return docs.join(small(rejected), (key == F.col(one)) & (other == F.col(two)), "left_anti")

@@ -180,7 +180,7 @@ def estimate(x: str, y: str) -> Column:
 
 def alike(x: str, y: str) -> Column:
     """Whether two sets are candidates by their sizes and packed minima."""
-    m, n = F.col(x + "n"), F.col(y + "n")
+    m, n = F.col(x + "shingles"), F.col(y + "shingles")
     return (100 * F.least(m, n) >= THRESHOLD * F.greatest(m, n)) & (estimate(x, y) >= LEAST_ESTIMATE)
 
 
@@ -210,13 +210,13 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows, members)``: ``rows`` as of :func:`signed`, staged; ``members``: ``copy, component`` of every distinct word sequence."""
     rows = staged(signed(docs), "signatures")
     # One document stands for each word sequence.
-    first = rows.filter("copy is not null and doc_id is not null").groupBy("copy").agg(F.min(F.struct("doc_id", "version")).alias("first"))
-    firsts = staged(first.select("copy", "first.*", F.monotonically_increasing_id().alias("id")), "firsts")
+    first = rows.filter("copy is not null and doc_id is not null").groupBy("copy").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.count("*").alias("n"))
+    firsts = staged(first.select("copy", "first.*", "n", F.monotonically_increasing_id().alias("id")), "firsts")
     at = rows.join(firsts, ["copy", "doc_id", "version"]).dropDuplicates(["copy", "doc_id", "version"])
-    nodes = staged(at.select("id", "doc_id", "version", F.col("n_shingles").alias("n"), "bands", *(F.col("low_bits")[i].alias(w) for i, w in enumerate(WORDS))), "nodes")
-    buckets = staged(crowded(nodes.select(F.explode("bands").alias("key"), F.col("n").alias("size"), "id"), 1 - THRESHOLD / 100), "buckets").select("key", "id")
+    nodes = staged(at.select("id", "doc_id", "version", "n", F.col("n_shingles").alias("shingles"), "bands", *(F.col("low_bits")[i].alias(w) for i, w in enumerate(WORDS))), "nodes")
+    buckets = staged(crowded(nodes.select(F.explode("bands").alias("key"), F.col("shingles").alias("size"), "id"), 1 - THRESHOLD / 100), "buckets").select("key", "id")
     sets = whole_sets(docs, nodes.join(buckets.select("id").distinct(), "id").select("id", "doc_id", "version"))
-    links = linked(buckets, nodes.select("id", "n", *WORDS), alike, lambda pairs: confirmed(pairs, sets))
+    links = linked(buckets, nodes.select("id", "n", "shingles", *WORDS), alike, lambda pairs: confirmed(pairs, sets))
     dropped(sets)
     placed = staged(firsts.join(connected_components(links), "id", "left").select("copy", "doc_id", F.coalesce("component", "id").alias("group")), "placed")
     smallest = staged(placed.groupBy("group").agg(F.min("doc_id").alias("component")), "smallest")

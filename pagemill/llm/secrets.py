@@ -6,7 +6,8 @@ incrementally, separately for each character class, and stretches whose entropy
 threshold become spans unless the allow-list explains them.
 
 Defined results: a null text counts as empty and has no spans; a null ``doc_id`` is carried along;
-repeated rows give repeated results; other columns are left out. Memory is one Arrow batch.
+repeated rows give repeated results; spans with one start go by kind; long texts are scanned whole, in time that grows
+with their length; other columns, whatever their names, are left out; an empty table gives an empty table. Memory is one Arrow batch.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ WINDOW = 20
 #: Candidates that are random by nature but no secrets.
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"(?i)(?:example|sample|dummy|placeholder|changeme|xxxx)"),
     re.compile(r"[0-9+/_=-]+"),  # digits and punctuation alone: numbers, dates, rules
 )
+ALLOW_WORDS = re.compile(r"example|sample|dummy|placeholder|changeme|xxxx", re.IGNORECASE)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -53,29 +54,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+#: c log2 c in units of 2^-40, so that sums are exact whatever the order of additions.
+_UNIT = 1 << 40
+_PLOGP = [round(c * math.log2(c) * _UNIT) if c else 0 for c in range(WINDOW + 2)]
+
+
 def dense_stretches(chars: str, alphabet: frozenset, bits: float, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Unions of all windows inside ``alphabet`` whose Shannon entropy is at least ``bits``.
+    """Unions of all windows inside ``alphabet`` whose Shannon entropy is at least ``bits``; ``window`` is ``WINDOW`` at most.
 
     H = log2(w) - sum(c log2 c) / w. One step of the window changes two counts, so the sum follows
     by two differences of a small table and the whole string costs one pass.
     """
-    plogp = [c * math.log2(c) if c else 0.0 for c in range(window + 1)]
-    most = window * (math.log2(window) - bits) + 1e-9  # the sum may be this at most
+    most = round(window * (math.log2(window) - bits) * _UNIT)  # the sum may be this at most
     counts: dict[str, int] = {}
-    total, run, out = 0.0, 0, []
+    total, run, out = 0, 0, []
     for i, ch in enumerate(chars):
         if ch not in alphabet:
-            counts, total, run = {}, 0.0, 0
+            counts, total, run = {}, 0, 0
             continue
         c = counts.get(ch, 0)
-        counts[ch] = c + 1
-        total += plogp[c + 1] - plogp[c] if c < window else 0.0
+        counts[ch] = c + 1  # window + 1 for a moment, if all of the window is this character
+        total += _PLOGP[c + 1] - _PLOGP[c]
         run += 1
         if run > window:
             gone = chars[i - window]
             c = counts[gone]
             counts[gone] = c - 1
-            total += plogp[c - 1] - plogp[c]
+            total += _PLOGP[c - 1] - _PLOGP[c]
         if run >= window and total <= most:
             start, end = i - window + 1, i + 1
             if out and start <= out[-1][1]:
@@ -85,25 +90,42 @@ def dense_stretches(chars: str, alphabet: frozenset, bits: float, window: int =
     return out
 
 
-def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Dense stretches of candidates that mix letters and digits, outside ``taken`` and off the allow-list."""
-    spans = []
+def free_pieces(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, str]]:
+    """``(place, piece)``: candidates without what ``taken`` (by start) covers and without words of the allow-list, in one pass over both."""
+    nth, covered = 0, 0
     for m in CANDIDATE.finditer(text):
-        s, e, word = m.start(), m.end(), m[0]
-        if not any(ch.isdigit() for ch in word) or any(a.fullmatch(word) or (i == 1 and a.search(word)) for i, a in enumerate(ALLOW)):
+        if text[max(0, m.start() - 3) : m.start()].endswith("://"):
             continue
-        if text[max(0, s - 3) : s].endswith("://") or any(s < te and ts < e for ts, te, _ in taken):
+        at = m.start()
+        while at < m.end():
+            while nth < len(taken) and taken[nth][0] <= at:
+                covered = max(covered, taken[nth][1])
+                nth += 1
+            if covered > at:
+                at = covered
+                continue
+            end = min(m.end(), taken[nth][0] if nth < len(taken) else m.end())
+            begin = at
+            for w in ALLOW_WORDS.finditer(text, at, end):
+                yield begin, text[begin : w.start()]
+                begin = w.end()
+            yield begin, text[begin:end]
+            at = end
+
+
+def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Dense stretches with a digit, of candidates outside ``taken`` and off the allow-list."""
+    spans = []
+    for s, word in free_pieces(text, taken):
+        if len(word) < WINDOW or not any(ch.isdigit() for ch in word) or any(a.fullmatch(word) for a in ALLOW):
             continue
-        found = sorted({x for alphabet, bits in CLASSES.values() for x in dense_stretches(word, alphabet, bits)})
         merged: list[tuple[int, int]] = []
-        for a, b in found:
-            if not any(ch.isdigit() for ch in word[a:b]):
-                continue
+        for a, b in sorted({x for alphabet, bits in CLASSES.values() for x in dense_stretches(word, alphabet, bits)}):
             if merged and a <= merged[-1][1]:
                 merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
             else:
                 merged.append((a, b))
-        spans += [(s + a, s + b, 3) for a, b in merged]
+        spans += [(s + a, s + b, 3) for a, b in merged if any(ch.isdigit() for ch in word[a:b])]
     return spans
 
 

@@ -86,8 +86,9 @@ STAR_ROUNDS, FRUITFUL = 6, 0.1
 def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Confirmed links ``(a, b)`` that connect all that can be connected by pairs of one bucket which ``alike`` and ``confirm`` accept.
 
-    ``buckets`` has columns ``key`` and ``id``; ``facts`` has by ``id`` the columns that ``alike("x.", "y.")`` reads.
-    First each bucket's members meet its hub: the smallest one, then by turns one at random. Links contract members to
+    ``buckets`` has columns ``key`` and ``id``; ``facts`` has by ``id`` the columns that ``alike("x.", "y.")`` reads,
+    and ``n``, how many equal ones it stands for. First each bucket's members meet its hub: the one with most equals (an original is often
+    copied whole too), then by turns one at random. Links contract members to
     components, and pairs within a component change nothing, so a bucket of m near copies costs about m pairs. When a round
     brings few links, what is left are members of one bucket that aren't connected: all their pairs meet in a join
     whose condition rejects before a row is made. That join alone can grow with the square of a bucket, by those of its
@@ -98,12 +99,12 @@ def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Col
     names = [c for c in rows.columns if c != "key"]
     for turn in range(STAR_ROUNDS):
         live = _open(rows, groups)
-        order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        order = F.struct(-F.col("n"), "id") if turn == 0 else F.xxhash64("id", F.lit(turn))
         hubs = staged(live.groupBy("key").agg(F.min_by(F.struct(*names, "component"), order).alias("hub")).select("key", "hub.*"), "hubs")
         x, y = hubs.alias("x"), live.alias("y")
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & alike("x.", "y."))
         # Of the hubs of its buckets, each member meets one a round.
-        one = met.groupBy(F.col("y.id").alias("id")).agg(F.min("x.id").alias("hub"))
+        one = met.groupBy(F.col("y.id").alias("id")).agg(F.min_by("x.id", F.struct(-F.col("x.n"), "x.id")).alias("hub"))
         fresh, found = _settled(one.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), tried, confirm)
         dropped(hubs)
         if fresh is None:
