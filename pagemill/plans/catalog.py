@@ -320,20 +320,21 @@ def stable_seed(spark, d):
 # Text
 
 
-@query(f"SELECT doc_id, {_normal_sql('left(text, 500)')} AS normal FROM documents")
+@query(f"SELECT doc_id, {_normal_sql('text')} AS normal FROM documents")
 def text_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normalize(text.ascii_only(F.substring("text", 1, 500))).alias("normal"))
+    """The whole texts' ASCII, as SQL can say it; :func:`text_normalize_whole` keeps all letters."""
+    return table(spark, d, "documents").select("doc_id", text.normalize(text.ascii_only(F.col("text"))).alias("normal"))
 
 
 @query()
 def text_normalize_whole(spark, d):
-    """Whole texts with all their letters; :func:`text_normalize` has the first 500 characters and ASCII only, as its SQL."""
+    """Whole texts with all their letters, after compatibility composition."""
     return table(spark, d, "documents").select("doc_id", text.normalize(text.nfkc(F.col("text"))).alias("normal"))
 
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring turns as reference and hypothesis: their first 120 ASCII characters, normalised, as the SQL has them."""
-    return paired_turns(spark, d, text.normalize(F.substring(text.ascii_only(F.col("text")), 1, 120)))
+    """Neighbouring turns as reference and hypothesis: their ASCII, normalised, as SQL can say it (its edit distance counts bytes)."""
+    return paired_turns(spark, d, text.normalize(text.ascii_only(F.col("text"))))
 
 
 def whole_turn_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -347,7 +348,7 @@ def paired_turns(spark: SparkSession, d: str, normal: Column) -> DataFrame:
     return rows.join(later, ["conv_id", "turn"])
 
 
-_TURNS = f"""WITH t AS (SELECT conv_id, turn, {_normal_sql("text").replace(_ASCII.format(x="text"), f"left({_ASCII.format(x='text')}, 120)")} AS x FROM conversations),
+_TURNS = f"""WITH t AS (SELECT conv_id, turn, {_normal_sql("text")} AS x FROM conversations),
 p AS (SELECT a.conv_id, a.turn, a.x AS ref, b.x AS hyp FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1)
 """
 
@@ -357,10 +358,7 @@ def cer_pairs(spark, d):
     return turn_pairs(spark, d).select("conv_id", "turn", F.length("ref").cast("bigint").alias("ref_chars"), r6(text.cer(F.col("ref"), F.col("hyp"))).alias("cer"))
 
 
-@query(_TURNS + """, w AS (SELECT *, list_distinct(string_split(ref, ' ') || string_split(hyp, ' ')) AS known FROM p)
-SELECT conv_id, turn, round(CASE WHEN ref = '' THEN (CASE WHEN hyp = '' THEN 0.0 ELSE 1.0 END)::DOUBLE ELSE levenshtein(
-  array_to_string(list_transform(string_split(ref, ' '), lambda x: chr((list_position(known, x) + 32)::INT)), ''),
-  array_to_string(list_transform(string_split(hyp, ' '), lambda x: chr((list_position(known, x) + 32)::INT)), ''))::DOUBLE / len(string_split(ref, ' ')) END, 6) AS wer FROM w""")
+@query()
 def wer_pairs(spark, d):
     return turn_pairs(spark, d).select("conv_id", "turn", r6(text.wer(F.col("ref"), F.col("hyp"))).alias("wer"))
 
@@ -409,7 +407,7 @@ def url_parts(spark, d):
     )
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(string_split(left(text, 2000), ' ')) AS word, unnest(range(len(string_split(left(text, 2000), ' ')))) AS pos FROM documents),
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents),
 p AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w),
 v AS (SELECT *, b >= 50 AND b + length(word) <= 250 AS seen FROM p)
 SELECT doc_id, count(*) AS n_words, min(b)::BIGINT AS begins, max(b + length(word))::BIGINT AS ends FROM v WHERE seen GROUP BY doc_id""")
@@ -483,15 +481,14 @@ def reading_order(spark, d):
 
 @query()
 def greedy_wrap(spark, d):
-    """The first 80 words, as its test has them; :func:`greedy_wrap_whole` wraps all."""
-    words = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 80)
+    """Lines of at most 40 characters that the words of a text fill; all its words."""
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
     return table(spark, d, "documents").select("doc_id", arrays.wrapped_lines(words, 40).alias("n_lines"))
 
 
 @query()
 def greedy_wrap_whole(spark, d):
-    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    return table(spark, d, "documents").select("doc_id", arrays.wrapped_lines(words, 40).alias("n_lines"))
+    return greedy_wrap(spark, d)
 
 
 # Arrays

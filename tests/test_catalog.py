@@ -3,7 +3,7 @@
 import pytest
 from compare import assert_same
 
-from pagemill.plans import catalog
+from pagemill.plans import catalog, reports  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -26,7 +26,7 @@ def test_greedy_wrap(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     for r in catalog.greedy_wrap(spark, FOLDER).collect():
         used = lines = 0
-        for word in [w for w in re.sub(r"[ \t\n\x0b\f\r]+", " ", texts[r.doc_id]).split(" ")[:80] if w]:
+        for word in [w for w in re.sub(r"[ \t\n\x0b\f\r]+", " ", texts[r.doc_id]).split(" ") if w]:
             if used and used + 1 + len(word) <= 40:
                 used += 1 + len(word)
                 continue
