@@ -119,9 +119,13 @@ def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Col
         if n < FRUITFUL * fresh.count():
             break
     live = _open(rows, groups)
+    # A pair that shares several keys is made by the first of these only.
+    own = live.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    live = staged(live.join(staged(own, "own"), "id"), "residual")
     x, y = live.alias("x"), live.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    met = x.join(y, across & alike("x.", "y.")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    here = F.array_intersect("x.keys", "y.keys")[0] == F.col("x.key")
+    met = x.join(y, across & alike("x.", "y.") & here).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     fresh, found = _settled(met, tried, confirm)
     if fresh is not None:
         links = found if links is None else links.unionByName(found)
