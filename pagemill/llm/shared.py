@@ -83,7 +83,8 @@ def crowded(keyed: DataFrame, rate: float) -> DataFrame:
 STAR_ROUNDS, FRUITFUL = 6, 0.1
 
 
-def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame],
+           whole: Callable[[DataFrame], DataFrame] | None = None, exact: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Confirmed links ``(a, b)`` that connect all that can be connected by pairs of one bucket which ``alike`` and ``confirm`` accept.
 
     ``buckets`` has columns ``key`` and ``id``; ``facts`` has by ``id`` the columns that ``alike("x.", "y.")`` reads,
@@ -92,7 +93,8 @@ def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Col
     components, and pairs within a component change nothing, so a bucket of m near copies costs about m pairs. When a round
     brings few links, what is left are members of one bucket that aren't connected: all their pairs meet in a join
     whose condition rejects before a row is made. That join alone can grow with the square of a bucket, by those of its
-    members that look alike and aren't linked.
+    members that look alike and aren't linked. If ``whole`` is given, it makes columns for the ids left there (``id``), and ``exact("x.", "y.")`` is a
+    condition over these that stands for ``confirm`` in the join: then links alone are made, and the square is one of comparisons only.
     """
     rows = staged(buckets.join(facts, "id"), "rows")
     links, groups, tried = None, None, None
@@ -120,15 +122,23 @@ def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Col
             break
     live = _open(rows, groups)
     # A pair that shares several keys is made by the first of these only.
-    own = live.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    live = staged(live.join(staged(own, "own"), "id"), "residual")
+    own = staged(live.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys")), "own")
+    if whole is not None:
+        details = whole(own.select("id"))
+        own = own.join(details, "id")
+    live = staged(live.join(own, "id"), "residual")
     x, y = live.alias("x"), live.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
     here = F.array_intersect("x.keys", "y.keys")[0] == F.col("x.key")
-    met = x.join(y, across & alike("x.", "y.") & here).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    fresh, found = _settled(met, tried, confirm)
-    if fresh is not None:
+    passes = across & alike("x.", "y.") & here
+    met = x.join(y, passes if exact is None else passes & exact("x.", "y.")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    if exact is None:
+        _, found = _settled(met, tried, confirm)
+    else:
+        found = staged(met, "links")
+    if found is not None:
         links = found if links is None else links.unionByName(found)
+    dropped(live)
     dropped(rows)
     return links if links is not None else rows.sparkSession.createDataFrame([], T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType)]))
 
