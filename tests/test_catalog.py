@@ -3,7 +3,7 @@
 import pytest
 from compare import assert_same
 
-from pagemill.plans import catalog, reports  # noqa: F401
+from pagemill.plans import catalog, measures, reports  # noqa: F401  the others add their queries to the catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 
