@@ -32,6 +32,8 @@ WINDOW = 0.09
 BLOCK_ROWS = 1024
 #: Queries that one block meets in one task at most.
 QUERY_ROWS = 8192
+#: Of these, so many at a time.
+MET_AT_ONCE = 128
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -153,12 +155,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = CUR
             x = left["embedding"].combine_chunks().flatten().to_numpy().reshape(len(ids), length)
             qids, qat = right["vec_id"].to_numpy(), right["position"].to_numpy()
             q = right["embedding"].combine_chunks().flatten().to_numpy().reshape(len(qids), length)
-            for i in range(len(qids)):
-                near = np.flatnonzero(np.abs(at - qat[i]) <= reach)
-                score = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-                best = np.lexsort((low[near], score))[: k + 1]
-                out["query_id"] += [qids[i]] * len(best)
-                out["vec_id"] += ids[near][best].tolist()
+            squares, q_squares = (x * x).sum(1), (q * q).sum(1)
+            for at_once in np.split(np.arange(len(qids)), range(MET_AT_ONCE, len(qids), MET_AT_ONCE)):
+                near = np.abs(at - qat[at_once, None]) <= reach
+                # Squared distances as a product of matrices are rounded otherwise than the score, by far less than ``slack``:
+                # who is within it of the last rank has its score taken exactly.
+                rough = np.where(near, squares + q_squares[at_once, None] - 2 * (q[at_once] @ x.T), np.inf)
+                last = np.partition(rough, min(k, len(ids) - 1), axis=1)[:, min(k, len(ids) - 1)]
+                slack = 1e-9 * (squares.max() + q_squares[at_once])
+                if np.isfinite(slack).all():
+                    near &= rough <= (last + slack)[:, None]
+                which, who = np.nonzero(near)
+                score = np.sqrt(((x[who] - q[at_once[which]]) ** 2).sum(1))
+                order = np.lexsort((low[who], score, which))
+                which, who, score = which[order], who[order], score[order]
+                best = np.arange(len(which)) - np.searchsorted(which, which) <= k
+                out["query_id"] += qids[at_once[which[best]]].tolist()
+                out["vec_id"] += ids[who[best]].tolist()
                 out["score"] += score[best].tolist()
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
