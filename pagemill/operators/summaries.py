@@ -84,8 +84,54 @@ def prefix_baselines(rows: DataFrame, label: str, baselines: Sequence[tuple[str,
     return out
 
 
+#: A selection counts values in so many buckets, until so few are left as the driver may sort.
+SELECT_BUCKETS, SELECT_MOST = 4096, 10_000
+
+
+def _finite(rows: DataFrame, value: Column) -> DataFrame:
+    return rows.select(value.cast("double").alias("v")).filter(~F.isnan("v") & (F.abs("v") < float("inf")))
+
+
+def nth_value(rows: DataFrame, value: Column, rank: int) -> float | None:
+    """The value of a rank (from 0) among all: each pass counts by buckets, and goes on inside the one that holds the rank.
+
+    A pass is one scan with partial counts, whatever the number of distinct values. Values that aren't finite (nulls too)
+    take no part; None if the rank is beyond the others.
+    """
+    rows = _finite(rows, value)
+    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if rank >= n:
+        return None
+    while low < high and n > SELECT_MOST:
+        width = max(high / SELECT_BUCKETS - low / SELECT_BUCKETS, 5e-324)
+        bucket = F.least(F.floor((F.col("v") - low) / width), F.lit(SELECT_BUCKETS - 1))
+        counts = rows.filter(F.col("v").between(low, high)).groupBy(bucket.alias("bucket")).agg(F.count("*"), F.min("v"), F.max("v"))
+        for _, n, low, high in sorted(counts.collect()):  # SELECT_BUCKETS rows at most
+            if rank < n:
+                break
+            rank -= n
+    if low == high:
+        return low
+    return sorted(r.v for r in rows.filter(F.col("v").between(low, high)).collect())[rank]  # SELECT_MOST rows at most
+
+
+def exact_median(rows: DataFrame, value: Column) -> float | None:
+    """The middle value, or the mean of the two in the middle, of the finite values; None without any."""
+    usable = _finite(rows, value)
+    n = usable.count()
+    if not n:
+        return None
+    middle = nth_value(usable, F.col("v"), (n - 1) // 2)
+    if n % 2:
+        return middle
+    upto, above = usable.agg(F.count_if(F.col("v") <= middle), F.min(F.when(F.col("v") > middle, F.col("v")))).first()
+    return middle if upto > n // 2 else (middle + above) / 2
+
+
 def outliers(rows: DataFrame, value: str, k: float) -> DataFrame:
     """Rows more than ``k`` robust deviations above the median; the two medians are single numbers."""
-    middle = rows.agg(F.median(value)).first()[0]
-    spread = rows.agg(F.median(F.abs(F.col(value) - F.lit(middle)))).first()[0]
+    middle = exact_median(rows, F.col(value))
+    if middle is None:
+        return rows.limit(0)
+    spread = exact_median(rows, F.abs(F.col(value) - F.lit(middle)))
     return rows.filter(F.col(value) > F.lit(middle) + k * (1.4826 * F.lit(spread) + 1e-6))
