@@ -67,4 +67,52 @@ SELECT doc_id, size, source_size, target,
 FROM counted
 """
 
-ORACLE_SQL = {"op2_url_filter": OP2, "op5_mixing": OP5}
+OP12 = r"""
+WITH base AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, row_number() OVER () AS nr FROM documents),
+found AS (SELECT lang, source, nr, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM base),
+counted AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT nr) AS docs FROM found GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::BIGINT AS n FROM counted GROUP BY ALL HAVING sum(docs) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS total FROM kept GROUP BY lang),
+grid AS (SELECT g.lang, g.source, k.term, k.n AS all_n, coalesce(c.n, 0) AS n, v, total, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS size
+  FROM (SELECT DISTINCT lang, source FROM base) g JOIN kept k USING (lang) JOIN langs USING (lang)
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 2) // (size + 2 * v))::BIGINT AS p, (1 + 1000000000::HUGEINT * (all_n + 2) // (total + 2 * v))::BIGINT AS q FROM grid),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM base),
+every_pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+lines AS (SELECT lang, source, 'pair' AS part, item, value FROM every_pair
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM lines)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+OP13 = r"""
+WITH RECURSIVE base AS (SELECT doc_id, row_number() OVER () AS nr, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+digits AS (SELECT *, doc_id::VARCHAR AS d FROM base),
+-- The checksum: a bit at a time, over the bytes of the decimal number.
+summed AS (SELECT *, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, range(8 * length(d))),
+    lambda acc, k: (CASE WHEN xor(acc, CASE WHEN k % 8 = 0 THEN ascii(substr(d, (k // 8 + 1)::INTEGER, 1)) ELSE 0 END::BIGINT) % 2 = 1
+      THEN xor(xor(acc, CASE WHEN k % 8 = 0 THEN ascii(substr(d, (k // 8 + 1)::INTEGER, 1)) ELSE 0 END::BIGINT) // 2, 3988292384::BIGINT)
+      ELSE xor(acc, CASE WHEN k % 8 = 0 THEN ascii(substr(d, (k // 8 + 1)::INTEGER, 1)) ELSE 0 END::BIGINT) // 2 END))) AS h FROM digits),
+planned AS (SELECT *, length(words) AS n, h // 10 AS g FROM summed),
+placed AS (SELECT *, CASE WHEN n > 0 AND h % 10 = 0 THEN g % n END AS a FROM planned),
+docs AS (SELECT doc_id, nr, n, CASE WHEN a IS NULL THEN words
+    ELSE list_transform(range(n), lambda i: words[(CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1)::BIGINT]) END AS words FROM placed),
+word AS (SELECT nr, n, unnest(words) AS w, unnest(range(n)) AS i FROM docs),
+equal AS (SELECT x.nr, y.i - x.i AS q, x.i FROM word x JOIN word y ON x.nr = y.nr AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // 4),
+islands AS (SELECT nr, q, i, i - row_number() OVER (PARTITION BY nr, q ORDER BY i) AS island FROM equal),
+stretches AS (SELECT nr, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY nr, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT nr, start, length, min(q) AS period FROM stretches GROUP BY nr, start, length),
+per AS (SELECT nr, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told,
+    arg_max(struct_pack(s := start, l := length, p := period), (length, -start, -period)) AS best FROM runs GROUP BY nr),
+gone AS (SELECT DISTINCT nr, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT word.nr, string_agg(w, ' ' ORDER BY word.i) AS text FROM word ANTI JOIN gone ON word.nr = gone.nr AND word.i = gone.i GROUP BY word.nr)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
+  sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN per ON docs.nr = per.nr LEFT JOIN kept ON docs.nr = kept.nr
+"""
+
+ORACLE_SQL = {"op2_url_filter": OP2, "op5_mixing": OP5, "op12_divergence": OP12, "op13_periodic_runs": OP13}

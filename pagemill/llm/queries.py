@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm import chat, decontam, fuzzy_lines, hilbert_ann, language_id, minhash, mixing, secrets, toxicity, url_filter
+from pagemill.llm import chat, decontam, divergence, fuzzy_lines, hilbert_ann, language_id, main_text, minhash, mixing, periodic_runs, secrets, toxicity, url_filter
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,26 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(kept.unionByName(spark.createDataFrame(EXTRA_CONVERSATION, schema)))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_periods(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    lines = F.array_join(F.transform(told, lambda x: F.concat(x, F.lit("\n"))), "")
+    best = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("best"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.col2"), F.col("best.length"), -F.col("best.col3")
+    milli = F.floor(1000 * length / period).cast("bigint")
+    return best.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_url_filter": op2_url_filter,
@@ -80,4 +100,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_chat": op10_chat,
+    "op11_main_text": op11_main_text,
+    "op12_divergence": op12_divergence,
+    "op13_periodic_runs": op13_periodic_runs,
 }

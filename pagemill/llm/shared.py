@@ -256,3 +256,23 @@ def unused(columns: Sequence[str], *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def solid_runs(column: pa.Array, solid: np.ndarray, replaced: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``(row, code, terms)`` of every longest run of bytes that ``solid`` (a flag for each byte) holds for, in order.
+
+    ``row`` is the number of its text, ``terms[code]`` the run itself as a string; equal runs have equal codes. ``replaced``
+    gives each byte another (lower case, say). Runs end with their text.
+    """
+    data, at = raw_texts(column)
+    keep = solid[data]
+    before = np.concatenate(([False], keep[:-1])) if len(keep) else keep
+    before[at[:-1][at[:-1] < len(data)]] = False
+    begins = np.flatnonzero(keep & ~before)
+    places = np.flatnonzero(keep)
+    inside = data[places] if replaced is None else replaced[data[places]]
+    ends = np.append(np.searchsorted(places, begins), len(places))
+    runs = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(inside))])
+    coded = runs.dictionary_encode()
+    row = np.searchsorted(at, begins, side="right") - 1
+    return row, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
