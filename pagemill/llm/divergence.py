@@ -84,7 +84,7 @@ def sketched(docs: DataFrame, least: int, width: int) -> np.ndarray:
             return cell, np.minimum(np.bincount(which, weights=np.concatenate([sums, *(n for _, n in more)])), 255).astype(np.int64)
 
         for batch in batches:
-            for part in slices(batch, "text", 1 << 22):
+            for part in slices(batch, "text", 1 << 20):
                 row, code, terms = solid_runs(part.column("text"), _LETTER, _LOWER)
                 n_terms = max(1, len(terms))
                 lang, names = _group_hashes(part.column("lang"))
@@ -92,7 +92,7 @@ def sketched(docs: DataFrame, least: int, width: int) -> np.ndarray:
                 pair, n = np.unique(lang[once // n_terms] * n_terms + once % n_terms, return_counts=True)
                 at = cells(names[pair // n_terms], string_hashes(terms)[pair % n_terms], width)
                 more.append((at.ravel(), np.tile(n, DEPTH)))
-                if sum(len(c) for c, _ in more) > len(held) + (1 << 22):
+                if sum(len(c) for c, _ in more) > len(held) + (1 << 20):
                     (held, sums), more = folded(), []
         held, sums = folded()
         edges = np.flatnonzero(np.diff(held // PIECE, prepend=-1, append=-1))[: None if len(held) else 0]
@@ -132,7 +132,7 @@ def term_counts(docs: DataFrame, least: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 23):
+            for part in slices(batch, "text", 1 << 21):
                 row, code, terms = solid_runs(part.column("text"), _LETTER, _LOWER)
                 n_terms = max(1, len(terms))
                 lang, names = _group_hashes(part.column("lang"))
