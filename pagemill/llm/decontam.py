@@ -7,7 +7,8 @@ for each document the q-grams shared with every passage are counted in overlappi
 to the band. Nothing within the edit budget can be lost, and what is reported is exact.
 
 The passages form an index that goes to every task. Its size is checked: passages are taken in blocks
-of at most ``block_chars`` characters, one pass over the documents each (one block in practice).
+of about ``block_chars`` characters, one pass over the documents each (one block in practice); a pass ends, its finds written
+down, before the next block is read, so that one index is in memory at a time.
 
 Text is compared after lower-casing single characters and reading every run of whitespace as one
 space; reported spans are code points of the original text, end exclusive.
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.shared import received, sent, staged
+
 Q, EDIT_RATE, LEAST_CHARS = 8, 0.1, 32
 BLOCK_CHARS = 8_000_000
 PIECE = 1 << 18
@@ -70,7 +73,7 @@ class Index:
     passages: list[np.ndarray]
     budget: np.ndarray
     bound: np.ndarray
-    table: np.ndarray  # one flag for each value of a gram's upper bits
+    table: np.ndarray  # one bit for each value of a gram's upper bits
     shift: np.uint64
     keys: np.ndarray  # distinct grams, sorted
     first: np.ndarray  # of each key in items and places
@@ -92,15 +95,17 @@ def build_index(rows: list[tuple[int, str]]) -> Index | None:
     keys, first = np.unique(flat[order], return_index=True)
     bits = max(16, int(np.ceil(np.log2(len(keys) * 32))))
     shift = np.uint64(64 - bits)
-    table = np.zeros(1 << bits, bool)
-    table[(keys >> shift).astype(np.int64)] = True
-    return Index([i for i, _ in kept], [p for _, p in kept], budget, sizes - Q + 1 - budget * Q, table, shift, keys, np.append(first, len(flat)), items[order], places[order])
+    slots = np.unique((keys >> shift).astype(np.int64))
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    np.bitwise_or.at(table, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+    return Index([i for i, _ in kept], [p for _, p in kept], budget, sizes - Q + 1 - budget * Q, table, shift, keys, np.append(first, len(flat)), items[order].astype(np.int32), places[order].astype(np.int32))
 
 
 def candidates(points: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
     """``(item, low, high)``: diagonals low to high - 1 hold enough of the item's q-grams."""
     h = grams(points)
-    at = np.flatnonzero(index.table[(h >> index.shift).astype(np.int64)])
+    slots = (h >> index.shift).astype(np.int64)
+    at = np.flatnonzero(index.table[slots >> 3] & (1 << (slots & 7)).astype(np.uint8))
     where = np.searchsorted(index.keys, h[at])
     real = index.keys[np.minimum(where, len(index.keys) - 1)] == h[at]
     at, where = at[real], where[real]
@@ -114,7 +119,7 @@ def candidates(points: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
     for end in np.unique(np.minimum(cuts, len(at))):
         times = counts[begin:end]
         flat = np.repeat(index.first[where[begin:end]] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        items = index.items[flat]
+        items = index.items[flat].astype(np.int64)
         band = (np.repeat(at[begin:end], times) - index.places[flat]) // (index.budget[items] + 1)
         key = items * (1 << 32) + band + (1 << 31)
         some, m = np.unique(np.concatenate((key, key - 1)), return_counts=True)
@@ -236,15 +241,18 @@ def contains(text: str | None, index: Index) -> bool:
     return False
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
-    """Indexes of at most ``block_chars`` characters (or one passage) each; one block's texts are on the driver at a time."""
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[DataFrame]:
+    """``item_id, text`` of the items, dealt by hash into tables of about half of ``block_chars`` characters each (or the longest item's); one table if all have no more than that."""
     rows = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).filter("text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
-    for i in range(parts):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else rows
-        if (index := build_index([tuple(r) for r in part.orderBy("item_id").collect()])) is not None:
-            yield index
+    if total <= block_chars:
+        return [rows]
+    parts = -(-2 * total // block_chars)
+    return [rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) for i in range(parts)]
+
+
+def index_of(block: DataFrame) -> Index | None:
+    return build_index([tuple(r) for r in block.orderBy("item_id").collect()])
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -252,31 +260,43 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
     schema = "doc_id bigint, item_id bigint, start bigint, end bigint, edits int"
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    found = None
-    for index in blocks(benchmark, block_chars):
-        shared = spark.sparkContext.broadcast(index)
+    found, parts = None, blocks(benchmark, block_chars)
+    for block in parts:
+        if (index := index_of(block)) is None:
+            continue
+        shared = sent(spark.sparkContext, index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
+            index = received(shared)
             for batch in batches:
-                rows = [(d.as_py(), *m) for d, t in zip(batch.column("doc_id"), batch.column("text"), strict=True) for m in matches(t.as_py(), shared.value)]
+                rows = [(d.as_py(), *m) for d, t in zip(batch.column("doc_id"), batch.column("text"), strict=True) for m in matches(t.as_py(), index)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k.type) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], schema=kinds)
 
         part = texts.mapInArrow(run, schema)
+        if len(parts) > 1:
+            part = staged(part, "passages")
+            shared.unpersist()
         found = part if found is None else found.unionByName(part)
     return spark.createDataFrame([], schema) if found is None else found
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents in which no passage occurs. The decision is made row by row where the text is, without a join."""
-    out = docs
-    for index in blocks(benchmark, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    out, parts = docs, blocks(benchmark, block_chars)
+    for block in parts:
+        if (index := index_of(block)) is None:
+            continue
+        shared = sent(docs.sparkSession.sparkContext, index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = received(shared)
             for batch in batches:
-                clean = [not contains(t.as_py(), shared.value) for t in batch.column(batch.schema.get_field_index("text"))]
+                clean = [not contains(t.as_py(), index) for t in batch.column(batch.schema.get_field_index("text"))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(run, out.schema)
+        if len(parts) > 1:
+            out = staged(out, "clean")
+            shared.unpersist()
     return out

@@ -7,9 +7,10 @@ share J + (1 - J) / 2^b, and inverting that corrects for chance collisions. Pair
 ``LEAST_ESTIMATE`` go; the rest are confirmed on the full shingle sets, so every link is exact.
 
 Copies are collapsed first by the hash of their word sequence. Band keys are range-sorted, and only rows with a neighbour of
-their key and of a size that fits go on. Members of a bucket meet hubs by turns, and only those that stay
-unconnected meet each other (see ``linked``): a bucket of m near copies that link costs about m pairs. Of documents just too
-different to link all pairs of a bucket have their signatures compared, and no row is made where the estimate rejects them.
+their key and of a size that fits go on. Members of a bucket meet hubs by turns (see ``linked``): a bucket of m near copies that
+link costs about m pairs. Those that stay unconnected are copies just too different, mostly. Their shingles are ordered by how few of them have each, and
+pairs meet that share one among the first: sets of 75 % similarity share one of the first seventh, and what is left behind the place of a shared one
+bounds the overlap (an exact prefix filter). Copies that aren't similar enough have that many shingles of their own, and meet no one.
 
 Chance of missing a pair of similarity 0.75: no common band (1 - 0.75^4)^32 = 5e-6; estimate below 0.65 at 256
 hashes and 4 bits: 3.5 deviations, 2e-4; either matters only to a pair that nothing else connects.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import connected_components, crowded, dropped, linked, small, staged, unused
+from pagemill.llm.shared import connected_components, crowded, dropped, linked, rarest, small, staged, unused
 
 SHINGLE, THRESHOLD = 5, 75
 BANDS, ROWS, LOW_BITS, HASHES = 32, 4, 4, 256
@@ -206,6 +207,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("both") >= THRESHOLD * (F.col("sizes") - F.col("both"))).select("a", "b")
 
 
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """``id, key, place``: of each set, ordered by how few sets have a shingle, the first shingles, so many that two sets similar enough share one of them."""
+    features = sets.select("id", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+    placed = rarest(features.select("id", "key")).join(sets.select("id", F.size("shingles").alias("size")), "id")
+    return placed.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * THRESHOLD / 100)).select("id", "key", "place")
+
+
+def may_overlap(x: str, y: str) -> Column:
+    """Whether sets that share a shingle at these places can have enough in common: what follows in either bounds it.
+
+    Of the smaller set, the first n + 1 - a shingles hold one in common, where a is the least overlap with a set of its size or more.
+    """
+    m, n, i, j = F.col(x + "shingles"), F.col(y + "shingles"), F.col(x + "place"), F.col(y + "place")
+    least = lambda sizes: F.ceil(sizes * THRESHOLD / (100 + THRESHOLD))
+    x_smaller = (m < n) | ((m == n) & (F.col(x + "id") < F.col(y + "id")))
+    early = F.when(x_smaller, i <= m - least(2 * m)).otherwise(j <= n - least(2 * n))
+    return early & (F.least(m - i, n - j) >= least(m + n))
+
+
 def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rows, members)``: ``rows`` as of :func:`signed`, staged; ``members``: ``copy, component`` of every distinct word sequence."""
     rows = staged(signed(docs), "signatures")
@@ -216,7 +236,8 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = staged(at.select("id", "doc_id", "version", "n", F.col("n_shingles").alias("shingles"), "bands", *(F.col("low_bits")[i].alias(w) for i, w in enumerate(WORDS))), "nodes")
     buckets = staged(crowded(nodes.select(F.explode("bands").alias("key"), F.col("shingles").alias("size"), "id"), 1 - THRESHOLD / 100), "buckets").select("key", "id")
     sets = whole_sets(docs, nodes.join(buckets.select("id").distinct(), "id").select("id", "doc_id", "version"))
-    links = linked(buckets, nodes.select("id", "n", "shingles", *WORDS), alike, lambda pairs: confirmed(pairs, sets))
+    finer = lambda ids: rare_shingles(sets.join(ids, "id"))
+    links = linked(buckets, nodes.select("id", "n", "shingles", *WORDS), alike, lambda pairs: confirmed(pairs, sets), finer, may_overlap)
     dropped(sets)
     placed = staged(firsts.join(connected_components(links), "id", "left").select("copy", "doc_id", F.coalesce("component", "id").alias("group")), "placed")
     smallest = staged(placed.groupBy("group").agg(F.min("doc_id").alias("component")), "smallest")

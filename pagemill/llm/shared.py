@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast, SparkContext, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +38,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(context: SparkContext, value: object) -> Broadcast:
+    """``value`` broadcast as bytes that hold its classes too, so that executors needn't have this package; read by :func:`received`."""
+    return context.broadcast(cloudpickle.dumps(value))
+
+
+def received(shared: Broadcast) -> object:
+    return pickle.loads(shared.value)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`staged` which nothing reads any more."""
     spark = df.sparkSession
@@ -83,16 +94,18 @@ def crowded(keyed: DataFrame, rate: float) -> DataFrame:
 STAR_ROUNDS, FRUITFUL = 6, 0.1
 
 
-def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(
+    buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], meet: Callable[[str, str], Column]
+) -> DataFrame:
     """Confirmed links ``(a, b)`` that connect all that can be connected by pairs of one bucket which ``alike`` and ``confirm`` accept.
 
     ``buckets`` has columns ``key`` and ``id``; ``facts`` has by ``id`` the columns that ``alike("x.", "y.")`` reads,
     and ``n``, how many equal ones it stands for. First each bucket's members meet its hub: the one with most equals (an original is often
     copied whole too), then by turns one at random. Links contract members to
     components, and pairs within a component change nothing, so a bucket of m near copies costs about m pairs. When a round
-    brings few links, what is left are members of one bucket that aren't connected: all their pairs meet in a join
-    whose condition rejects before a row is made. That join alone can grow with the square of a bucket, by those of its
-    members that look alike and aren't linked.
+    brings few links, what is left are members of one bucket that aren't connected: copies just too far from each other, mostly, whose pairs would be many.
+    These are dealt out anew: ``finer`` gives for a table of ids (``id``) the keys (``id, key`` and what ``meet("x.", "y.")`` reads) of what is rare in each among all
+    that are left, which strangers share by chance only, and pairs meet by these.
     """
     rows = staged(buckets.join(facts, "id"), "rows")
     links, groups, tried = None, None, None
@@ -107,6 +120,8 @@ def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Col
         one = met.groupBy(F.col("y.id").alias("id")).agg(F.min_by("x.id", F.struct(-F.col("x.n"), "x.id")).alias("hub"))
         fresh, found = _settled(one.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), tried, confirm)
         dropped(hubs)
+        if turn:
+            dropped(live)
         if fresh is None:
             break
         tried = fresh if tried is None else tried.unionByName(fresh)
@@ -114,25 +129,31 @@ def linked(buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Col
         if n:
             links = found if links is None else links.unionByName(found)
             groups = connected_components(links)
-        if turn:
-            dropped(live)
         if n < FRUITFUL * fresh.count():
             break
-    live = _open(rows, groups)
-    # A pair that shares several keys is made by the first of these only.
-    own = live.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    live = staged(live.join(staged(own, "own"), "id"), "residual")
-    x, y = live.alias("x"), live.alias("y")
+    left = staged(_open(rows, groups).drop("key").dropDuplicates(["id"]), "left")
+    dropped(rows)
+    dealt = staged(finer(left.select("id")).join(left, "id"), "finer")
+    x, y = dealt.alias("x"), dealt.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    here = F.array_intersect("x.keys", "y.keys")[0] == F.col("x.key")
-    met = x.join(y, across & alike("x.", "y.") & here).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    met = x.join(y, across & meet("x.", "y.") & alike("x.", "y.")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     fresh, found = _settled(met, tried, confirm)
+    dropped(dealt)
     if fresh is not None:
         links = found if links is None else links.unionByName(found)
-    dropped(rows)
     return links if links is not None else rows.sparkSession.createDataFrame([], T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType)]))
 
 
+def rarest(features: DataFrame) -> DataFrame:
+    """``id, key, place`` of each feature (``id, key``, each once) that another id has too: its place, from 0, among the id's features by how few ids have them."""
+    common = features.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    alone = features.groupBy("id").agg(F.count("*").alias("size"))
+    shared = features.join(common, "key")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("n", "key")) - 1
+    n_shared = F.count("*").over(Window.partitionBy("id"))
+    return shared.withColumn("nth", nth).withColumn("shared", n_shared).join(alone, "id").select("id", "key", (F.col("size") - F.col("shared") + F.col("nth")).alias("place"), "nth")
+
+
 def _settled(pairs: DataFrame, tried: DataFrame | None, confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
     """The pairs that are new, and of these the confirmed ones; nothing if none is new."""
     pairs = pairs.distinct()

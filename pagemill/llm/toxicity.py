@@ -12,9 +12,9 @@ the given label, itself a voter whose error rates are estimated. A logistic regr
 on the same rows, on the length and on the voters is fitted to them. Labels, lang, source and doc_id are no
 input of a score. Rows whose crc32(doc_id) modulo 4 is 2 are held out of everything that reads labels.
 
-Defined results: null and empty texts are scored by the intercept alone; a null doc_id is not held out and has no label;
-several labels of one document count by their mean; without labels the voters alone decide; repeated rows are
-scored alike; an empty table gives an empty table. Texts are read whole, in pieces of about a megabyte.
+Defined results: null and empty texts have no words, and of the voters only the one for clean fires on them; a null doc_id is not held out and has no label;
+several labels of one document count by their mean; rows that repeat a labelled doc_id are in the sample once for each different text, within its bound;
+without labels the voters alone decide; repeated rows are scored alike; other columns don't matter, whatever their names; an empty table gives an empty table. Texts are read whole, in pieces of about a megabyte.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.minhash import _BYTE, _IN_WORD, mixed
-from pagemill.llm.shared import raw_texts, slices, staged
+from pagemill.llm.shared import raw_texts, received, sent, slices, staged
 
 #: The insult lexicon, one voter a word.
 LEXICON = (
@@ -45,8 +45,8 @@ PATTERNS = ("capitals", "exclamations", "repeated insult")
 LEARNED, LEARNED_SHARE = 24, 0.02
 N_VOTERS = len(LEXICON) + len(PHRASES) + len(PATTERNS) + LEARNED + 1
 
-#: Labelled rows in the fit, word features, and words looked at for these, by number of toxic rows that have them.
-MAX_FIT, FEATURES, LOOKED_AT = 12_000, 256, 50_000
+#: Labelled rows in the fit, and word features.
+MAX_FIT, FEATURES = 12_000, 256
 #: A word's first bytes, so many, are features too.
 STEMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
@@ -206,49 +206,44 @@ def joint_votes(texts: DataFrame, learned: np.ndarray) -> tuple[float, np.ndarra
 
 
 def training_rows(texts: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """``text, label`` of a bounded sample of labelled rows that aren't held out, by smallest hash of doc_id."""
+    """``text, label`` of at most ``most`` labelled rows that aren't held out, by smallest hash of doc_id, then of the text; equal ones once."""
     ids = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("double").alias("toxic")).filter("id is not null and toxic is not null")
-    some = ids.filter(~held_out(F.col("id"))).groupBy("id").agg(F.avg("toxic").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
-    return staged(texts.join(F.broadcast(some), texts.doc_id == some.id).select("text", "label"), "labelled")
+    some = F.broadcast(ids.filter(~held_out(F.col("id"))).groupBy("id").agg(F.avg("toxic").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most))
+    versions = texts.select("doc_id", "text", F.xxhash64("text").alias("version"))
+    chosen = versions.join(some, versions.doc_id == some.id).select("id", "version", "label").distinct().orderBy(F.xxhash64("id"), "id", "version").limit(most)
+    chosen = F.broadcast(staged(chosen, "chosen"))
+    rows = versions.join(chosen, (versions.doc_id == chosen.id) & (versions.version == chosen.version)).groupBy("id", chosen.version).agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return staged(rows.select("text", "label"), "labelled")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == HELD_OUT, F.lit(False))
 
 
-def row_counts(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """``word, n``: in how many rows each word or stem occurs; of those in ``wanted`` alone if given."""
+def word_shares(rows: DataFrame, most: int) -> list[tuple[int, float, float]]:
+    """``(word, toxic, clean)``: the ``most`` words and stems that differ most between toxic and clean rows, with how many rows have them."""
+    size = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("label") > 0.5).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    if len(size) < 2:
+        return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, row = words_in(*raw_texts(part.column("text")), stems=True)
-                if wanted is not None:
-                    kept, _ = places_in(hashes, wanted)
-                    hashes, row = hashes[kept], row[kept]
                 order = np.lexsort((row, hashes))
                 hashes, row = hashes[order], row[order]
                 fresh = np.ones(len(hashes), bool)
                 fresh[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-                words, n = np.unique(hashes[fresh], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
-
-    return rows.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+                toxic = part.column("label").to_numpy()[row[fresh]] > 0.5
+                words, which = np.unique(hashes[fresh], return_inverse=True)
+                n = [np.bincount(which[x], minlength=len(words)).astype(np.int64) for x in (toxic, ~toxic)]
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *map(pa.array, n)], names=["word", "toxic", "clean"])
 
-
-def word_shares(rows: DataFrame, most: int) -> list[tuple[int, float, float]]:
-    """``(word, toxic, clean)``: the ``most`` words and stems that differ most between toxic and clean rows, with how many rows have them."""
-    size = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("label") > 0.5).alias("toxic")).agg(F.count("*").alias("n")).collect()}
-    if len(size) < 2:
-        return []
-    toxic = row_counts(rows.filter("label > 0.5"), None).filter("n > 2").orderBy(F.desc("n"), "word").limit(LOOKED_AT).toPandas()
-    words = toxic["word"].to_numpy(np.int64)
-    clean = row_counts(rows.filter("label <= 0.5"), words.view(np.uint64)).toPandas().set_index("word")["n"].reindex(words, fill_value=0).to_numpy()
-    seen = toxic["n"].to_numpy()
-    expected = (seen + clean) * size[True] / (size[True] + size[False])
-    apart = (seen - expected) / np.sqrt(expected + 1)  # in deviations, about
-    best = np.lexsort((words, -np.abs(apart)))[:most]
-    return [(int(words[i]), float(seen[i]), float(clean[i])) for i in best]
+    counts = rows.select("text", "label").mapInArrow(run, "word bigint, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    expected = (F.col("toxic") + F.col("clean")) * (size[True] / (size[True] + size[False]))
+    deviations = F.abs((F.col("toxic") - expected) / F.sqrt(expected + 1))  # about
+    best = counts.filter("toxic > 2").orderBy(F.desc(deviations), "word").limit(most)
+    return [(r["word"], float(r["toxic"]), float(r["clean"])) for r in best.collect()]
 
 
 def features(data: np.ndarray, at: np.ndarray, learned: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -330,10 +325,10 @@ def train(texts: DataFrame, labels: DataFrame, most: int = MAX_FIT) -> tuple[Sco
 def score(docs: DataFrame, labels: DataFrame, most: int = MAX_FIT) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(texts, labels, most)[0])
+    shared = sent(docs.sparkSession.sparkContext, train(texts, labels, most)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shared.value
+        s = received(shared)
         for batch in batches:
             for part in slices(batch, "text"):
                 x = features(*raw_texts(part.column("text")), s.learned, s.words)

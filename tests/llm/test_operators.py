@@ -180,6 +180,35 @@ def test_near_copies_around_the_threshold(docs_of):
     assert [got[i] for i in range(150)] == expected and 1 < len(set(expected)) < 150
 
 
+@pytest.mark.parametrize("edits", [6, 8])
+def test_copies_just_too_different_meet_few(spark, docs_of, monkeypatch, edits):
+    """Copies of a text with words changed at random, hardly any pair similar enough: pairs looked at grow like the copies, and every link is found."""
+    rng = random.Random(edits)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        for at in rng.sample(range(200), edits):
+            words[at] = f"x{rng.randint(0, 10**9)}"
+        texts.append(" ".join(words))
+    looked_at, real = [], minhash.confirmed
+
+    def counted(pairs, sets):
+        looked_at.append(pairs.count())
+        return real(pairs, sets)
+
+    monkeypatch.setattr(minhash, "confirmed", counted)
+    tried = []
+    for n in (150, 300):
+        looked_at.clear()
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(enumerate(texts[:n]))).collect()}
+        tried.append(sum(looked_at))
+        sets = [set(minhash.shingles(t).tolist()) for t in texts[:n]]
+        pairs = [(i, j) for i in range(n) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+        assert [got[i] for i in range(n)] == roots(n, pairs)
+    assert tried[1] <= 2.5 * tried[0] + 300, tried
+
+
 # op5
 
 
@@ -268,11 +297,10 @@ def test_within_is_edit_distance():
 
 def test_line_rows_are_the_lines():
     texts = ["", "one line of words that is long enough\n\nx\nAnother line, with 123 numbers in it\n", "", "\n\nthe last line is also quite long"]
-    data = np.frombuffer("".join(texts).encode(), np.uint8)
-    at = np.cumsum([0] + [len(t.encode()) for t in texts])
-    row, line, name, chars = fuzzy_lines.line_rows(data, at)
+    row, line, name, chars, solid = fuzzy_lines.line_rows(texts)
     expected = [(i, k, len(fuzzy_lines.words_of(x))) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if len(fuzzy_lines.words_of(x)) >= fuzzy_lines.LEAST_CHARS]
     assert list(zip(row.tolist(), line.tolist(), chars.tolist(), strict=True)) == expected and len(set(name.tolist())) == len(name)
+    assert solid[0] == b"onelineofwordsthatislongenough"
 
 
 _RNG = random.Random(11)
@@ -323,6 +351,54 @@ def test_near_lines_against_all_pairs(docs_of):
     assert len(expected) > 200 and gone <= expected and len(gone) >= 0.95 * len(expected), (len(gone), len(expected))
 
 
+@pytest.mark.parametrize("words", [5, 10, 20, 40, 80])
+def test_lines_with_edits_at_the_rate(docs_of, words):
+    """Of pairs of a line and a copy with as many edits as the rate allows, nine in ten are found in each class of length."""
+    rng = random.Random(words)
+    lines, near = [], []
+    for i in range(150):
+        line = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 9))) for _ in range(words))
+        copy = list(line)
+        for at in rng.sample(range(len(copy)), int(fuzzy_lines.EDIT_RATE * len(line))):
+            copy[at] = rng.choice(("", rng.choice("abcdefghij"), copy[at] + rng.choice("abcdefghij")))
+        a, b = fuzzy_lines.words_of(line), fuzzy_lines.words_of("".join(copy))
+        if fuzzy_lines.within(a, b, int(fuzzy_lines.EDIT_RATE * max(len(a), len(b)))):
+            near.append(2 * i + 1)
+        lines += [(2 * i, line), (2 * i + 1, "".join(copy))]
+    gone = {r["doc_id"] for r in fuzzy_lines.without_repeated_lines(docs_of(lines)).filter("n_removed > 0").collect()}
+    assert len(near) > 100 and gone <= set(near) and len(gone) >= 0.9 * len(near), (len(gone), len(near))
+
+
+def test_lines_in_a_family_of_far_copies(docs_of):
+    """Copies of a line, most just too far from it and from each other, a few of which share their edits: those are found among all, and strangers aren't."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    base = [word() for _ in range(50)]
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.sample(range(50), n):
+            words[at] = word()
+        return words
+
+    family = [edited(base, 7) for _ in range(60)]
+    family += [edited(family[i], 2) for i in range(10)]
+    lines = [" ".join(x) for x in [base, *family]]
+    most = lambda i, j: int(fuzzy_lines.EDIT_RATE * max(len(lines[i]), len(lines[j])))
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if fuzzy_lines.within(lines[i], lines[j], most(i, j))]
+    expected = {i for i, r in enumerate(roots(len(lines), pairs)) if r != i}
+    gone = {r["doc_id"] for r in fuzzy_lines.without_repeated_lines(docs_of(enumerate(lines))).filter("n_removed > 0").collect()}
+    assert len(expected) >= 10 and gone == expected
+
+
+def test_long_texts_and_lines(docs_of):
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefghij ", k=120_000))
+    many = "\n".join("".join(rng.choices("abcdefghijklmnop", k=40)) for _ in range(5_000))
+    out = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in fuzzy_lines.without_repeated_lines(docs_of([(1, long), (2, long[:60_000] + "x" + long[60_001:]), (3, many), (4, many + "\nand one more line at the end of it")])).collect()}
+    assert out == {1: (1, 0), 2: (1, 1), 3: (5_000, 0), 4: (5_001, 5_000)}
+
+
 def test_many_near_lines_are_one_group(docs_of):
     """A hundred copies of a line, each with its own edits, and as many lines that share half of it only."""
     rng = random.Random(8)
