@@ -91,7 +91,7 @@ def crowded(keyed: DataFrame, rate: float) -> DataFrame:
 
 
 #: Star passes go on while they link at least this share of the pairs they try, and so many at most.
-STAR_ROUNDS, FRUITFUL = 6, 0.1
+STAR_ROUNDS, FRUITFUL = 4, 0.2
 
 
 def linked(
@@ -118,18 +118,18 @@ def linked(
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & alike("x.", "y."))
         # Of the hubs of its buckets, each member meets one a round.
         one = met.groupBy(F.col("y.id").alias("id")).agg(F.min_by("x.id", F.struct(-F.col("x.n"), "x.id")).alias("hub"))
-        fresh, found = _settled(one.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), tried, confirm)
+        fresh, found, n = _settled(one.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), tried, confirm)
         dropped(hubs)
         if turn:
             dropped(live)
-        if fresh is None:
+        if not n:
             break
         tried = fresh if tried is None else tried.unionByName(fresh)
-        n = found.count()
-        if n:
+        n_found = found.count()
+        if n_found:
             links = found if links is None else links.unionByName(found)
             groups = connected_components(links)
-        if n < FRUITFUL * fresh.count():
+        if n_found < FRUITFUL * n:
             break
     left = staged(_open(rows, groups).drop("key").dropDuplicates(["id"]), "left")
     dropped(rows)
@@ -137,9 +137,9 @@ def linked(
     x, y = dealt.alias("x"), dealt.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
     met = x.join(y, across & meet("x.", "y.") & alike("x.", "y.")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    fresh, found = _settled(met, tried, confirm)
+    _, found, n = _settled(met, tried, confirm)
     dropped(dealt)
-    if fresh is not None:
+    if n:
         links = found if links is None else links.unionByName(found)
     return links if links is not None else rows.sparkSession.createDataFrame([], T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType)]))
 
@@ -154,11 +154,12 @@ def rarest(features: DataFrame) -> DataFrame:
     return shared.withColumn("nth", nth).withColumn("shared", n_shared).join(alone, "id").select("id", "key", (F.col("size") - F.col("shared") + F.col("nth")).alias("place"), "nth")
 
 
-def _settled(pairs: DataFrame, tried: DataFrame | None, confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
-    """The pairs that are new, and of these the confirmed ones; nothing if none is new."""
+def _settled(pairs: DataFrame, tried: DataFrame | None, confirm: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None, int]:
+    """The pairs that are new, of these the confirmed ones (nothing if none is new), and how many are new."""
     pairs = pairs.distinct()
     fresh = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    return (None, None) if fresh.isEmpty() else (fresh, staged(confirm(fresh), "links"))
+    n = fresh.count()
+    return fresh, staged(confirm(fresh), "links") if n else None, n
 
 
 def _open(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -167,7 +168,7 @@ def _open(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
         return rows.withColumn("component", F.col("id"))
     labelled = staged(rows.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
     spans = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    out = staged(labelled.join(staged(spans, "spans"), "key"), "open")
+    out = staged(labelled.join(spans, "key"), "open")
     dropped(labelled)
     return out
 
