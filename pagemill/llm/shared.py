@@ -95,17 +95,22 @@ STAR_ROUNDS, FRUITFUL = 4, 0.2
 
 
 def linked(
-    buckets: DataFrame, facts: DataFrame, alike: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], meet: Callable[[str, str], Column]
+    buckets: DataFrame,
+    facts: DataFrame,
+    alike: Callable[[str, str], Column],
+    confirm: Callable[[DataFrame], DataFrame],
+    finer: Callable[[DataFrame], DataFrame] | None = None,
+    meet: Callable[[str, str], Column] = lambda x, y: F.lit(True),
 ) -> DataFrame:
     """Confirmed links ``(a, b)`` that connect all that can be connected by pairs of one bucket which ``alike`` and ``confirm`` accept.
 
     ``buckets`` has columns ``key`` and ``id``; ``facts`` has by ``id`` the columns that ``alike("x.", "y.")`` reads,
     and ``n``, how many equal ones it stands for. First each bucket's members meet its hub: the one with most equals (an original is often
     copied whole too), then by turns one at random. Links contract members to
-    components, and pairs within a component change nothing, so a bucket of m near copies costs about m pairs. When a round
-    brings few links, what is left are members of one bucket that aren't connected: copies just too far from each other, mostly, whose pairs would be many.
-    These are dealt out anew: ``finer`` gives for a table of ids (``id``) the keys (``id, key`` and what ``meet("x.", "y.")`` reads) of what is rare in each among all
-    that are left, which strangers share by chance only, and pairs meet by these.
+    components, and pairs within a component change nothing, so a bucket of m near copies costs about m pairs. A bucket of two that aren't alike is done with. When a round
+    brings few links, what is left are members of one bucket that aren't connected; their pairs meet in a join whose condition rejects before a row is made.
+    With ``finer`` they are dealt out anew before: it gives for a table of ids (``id``) keys (``id, key`` and what ``meet("x.", "y.")`` reads) of what is rare in each among all
+    that are left, so that copies just too far from each other, whose pairs would be many, mostly don't meet.
     """
     rows = staged(buckets.join(facts, "id"), "rows")
     links, groups, tried = None, None, None
@@ -113,15 +118,21 @@ def linked(
     for turn in range(STAR_ROUNDS):
         live = _open(rows, groups)
         order = F.struct(-F.col("n"), "id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        hubs = staged(live.groupBy("key").agg(F.min_by(F.struct(*names, "component"), order).alias("hub")).select("key", "hub.*"), "hubs")
+        hubs = staged(live.groupBy("key").agg(F.min_by(F.struct(*names, "component"), order).alias("hub"), F.count("*").alias("members")).select("key", "members", "hub.*"), "hubs")
         x, y = hubs.alias("x"), live.alias("y")
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & alike("x.", "y."))
+        met = staged(met.select("x.key", F.col("y.id").alias("id"), F.col("x.id").alias("hub"), F.col("x.n").alias("hub_n")), "met")
+        if turn == 0:
+            some = hubs.filter("members > 2").select("key").union(met.select("key")).distinct()
+            fewer = staged(rows.join(some, "key", "left_semi"), "rows")
+            dropped(rows)
+            rows = fewer
+        else:
+            dropped(live)
         # Of the hubs of its buckets, each member meets one a round.
-        one = met.groupBy(F.col("y.id").alias("id")).agg(F.min_by("x.id", F.struct(-F.col("x.n"), "x.id")).alias("hub"))
+        one = met.groupBy("id").agg(F.min_by("hub", F.struct(-F.col("hub_n"), "hub")).alias("hub"))
         fresh, found, n = _settled(one.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), tried, confirm)
         dropped(hubs)
-        if turn:
-            dropped(live)
         if not n:
             break
         tried = fresh if tried is None else tried.unionByName(fresh)
@@ -131,14 +142,14 @@ def linked(
             groups = connected_components(links)
         if n_found < FRUITFUL * n:
             break
-    left = staged(_open(rows, groups).drop("key").dropDuplicates(["id"]), "left")
-    dropped(rows)
-    dealt = staged(finer(left.select("id")).join(left, "id"), "finer")
-    x, y = dealt.alias("x"), dealt.alias("y")
+    left = _open(rows, groups)
+    if finer:
+        ids = staged(left.drop("key").dropDuplicates(["id"]), "left")
+        left = staged(finer(ids.select("id")).join(ids, "id"), "finer")
+    x, y = left.alias("x"), left.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
     met = x.join(y, across & meet("x.", "y.") & alike("x.", "y.")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     _, found, n = _settled(met, tried, confirm)
-    dropped(dealt)
     if n:
         links = found if links is None else links.unionByName(found)
     return links if links is not None else rows.sparkSession.createDataFrame([], T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType)]))
