@@ -23,22 +23,6 @@ def method_summary(facts: DataFrame, method: str, key: str, value: str, baseline
     return joined.groupBy("method").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean_value"), gain.alias("gain_vs_input"))
 
 
-def resample_index(r: Column, j: Column, n: Column) -> Column:
-    """A row number in 1..n for draw j of resample r: integer arithmetic that any SQL engine repeats."""
-    return F.pmod(F.pmod(r * 7919 + j * 104729 + r * j * 31, F.lit(2147483647)) * 48271, F.lit(2147483647)) % n + 1
-
-
-def bootstrap(values: DataFrame, group: str, key: str, value: str, resamples: int, level: float = LEVEL) -> DataFrame:
-    """``group, n, mean, lo, hi``: percentile bootstrap of the mean as joins; every draw is a row, so a group's values are never gathered."""
-    rows = values.withColumn("_j", F.row_number().over(Window.partitionBy(group).orderBy(key)).cast("bigint"))
-    n = values.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    draws = rows.join(n, group).select(group, "_j", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(resamples).cast("bigint"))).alias("_r"))
-    picked = draws.select(group, "_r", resample_index(F.col("_r"), F.col("_j"), F.col("n")).alias("_j")).join(rows.select(group, "_j", value), [group, "_j"])
-    means = picked.groupBy(group, "_r").agg(F.avg(value).alias("_m"))
-    tail = (1 - level) / 2
-    return n.join(means.groupBy(group).agg(F.expr(f"percentile(_m, {tail})").alias("lo"), F.expr(f"percentile(_m, {1 - tail})").alias("hi")), group)
-
-
 def interval(values: np.ndarray, resamples: int = RESAMPLES, level: float = LEVEL, seed: int = SEED) -> tuple[float, float, float]:
     """Mean and percentile interval; resamples are drawn a thousand at a time."""
     rng, means, left = np.random.default_rng(seed), [], resamples

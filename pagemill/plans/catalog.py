@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import arrays, keys, text
-from pagemill.operators import jobs, samples, summaries
+from pagemill.operators import intervals, jobs, samples, summaries
 from pagemill.sources.tables import table
 from pagemill.streaming.append import append_once
 
@@ -17,7 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 #: Parameters of the registered queries.
-N_VAL, SHARD_ROWS, PACK_CHARS, RESAMPLES = 200, 400, 300_000, 200
+N_VAL, SHARD_ROWS, PACK_CHARS, RESAMPLES = 200, 400, 300_000, 1000
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
@@ -135,11 +135,10 @@ def user_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BOOTSTRAP = f"""
-rows AS (SELECT method, v, row_number() OVER (PARTITION BY method ORDER BY user_id) AS j FROM u), n AS (SELECT method, count(*) AS n, avg(v) AS mean FROM u GROUP BY 1),
-picked AS (SELECT method, r, ((r * 7919 + j * 104729 + r * j * 31) % 2147483647 * 48271 % 2147483647) % n + 1 AS j FROM rows JOIN n USING (method), range(1, {RESAMPLES + 1}) t(r)),
-means AS (SELECT method, r, avg(v) AS m FROM picked JOIN rows USING (method, j) GROUP BY ALL),
+picked AS (SELECT method, r, v, {intervals.DRAWS_SQL} AS w FROM (SELECT method, user_id % {intervals.PRIME} AS k, v FROM u), range(1, {RESAMPLES + 1}) t(r)),
+means AS (SELECT method, r, sum(w * v) / sum(w) AS m FROM picked GROUP BY ALL),
 ci AS (SELECT method, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM means GROUP BY 1)
-SELECT method, n, round(mean, 6) AS mean, lo, hi, lo > 0 OR hi < 0 AS excludes_zero FROM n JOIN ci USING (method)"""
+SELECT method, count(*) AS n, round(avg(v), 6) AS mean, any_value(lo) AS lo, any_value(hi) AS hi, any_value(lo > 0 OR hi < 0) AS excludes_zero FROM u JOIN ci USING (method) GROUP BY method"""
 
 
 def _interval_columns(out: DataFrame) -> DataFrame:
@@ -149,7 +148,7 @@ def _interval_columns(out: DataFrame) -> DataFrame:
 
 @query("WITH u AS (SELECT event_type AS method, user_id, round(avg(value), 6) AS v FROM events GROUP BY ALL)," + _BOOTSTRAP)
 def bootstrap_ci_native(spark, d):
-    return _interval_columns(summaries.bootstrap(user_means(spark, d), "method", "user_id", "v", RESAMPLES))
+    return _interval_columns(intervals.bootstrap(user_means(spark, d), ["method"], F.col("user_id"), "v", RESAMPLES))
 
 
 @query()
@@ -163,7 +162,7 @@ def paired_bootstrap(spark, d):
     means = user_means(spark, d)
     a, b = (means.filter(F.col("method") == m).select("user_id", F.col("v").alias(c)) for m, c in (("click", "a"), ("view", "b")))
     differences = a.join(b, "user_id").select(F.lit("click - view").alias("method"), "user_id", r6(F.col("a") - F.col("b")).alias("v"))
-    return _interval_columns(summaries.bootstrap(differences, "method", "user_id", "v", RESAMPLES))
+    return _interval_columns(intervals.bootstrap(differences, ["method"], F.col("user_id"), "v", RESAMPLES))
 
 
 @query("""
@@ -486,11 +485,6 @@ def greedy_wrap(spark, d):
     return table(spark, d, "documents").select("doc_id", arrays.wrapped_lines(words, 40).alias("n_lines"))
 
 
-@query()
-def greedy_wrap_whole(spark, d):
-    return greedy_wrap(spark, d)
-
-
 # Arrays
 
 
@@ -516,13 +510,6 @@ def colour_fit_residual(spark, d):
     return fit.select("vec_id", F.round("slope", 5).alias("slope"), F.round(F.col("my") - F.col("slope") * F.col("mx"), 5).alias("intercept"))
 
 
-@query("""SELECT least(63, greatest(0, floor((v + 1) * 32)))::BIGINT AS bin, count(*) AS n, round(avg(v * v), 6) AS power FROM (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY 1""")
-def radial_histogram(spark, d):
-    values = table(spark, d, "embeddings").select(F.explode(F.col("embedding").cast("array<double>")).alias("v"))
-    bin_ = F.least(F.lit(63), F.greatest(F.lit(0), F.floor((F.col("v") + 1) * 32))).cast("bigint")
-    return values.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), r6(F.avg(F.col("v") * F.col("v"))).alias("power"))
-
-
 @query("""WITH m AS (SELECT median(l_extendedprice) AS mid FROM lineitem), s AS (SELECT mid, median(abs(l_extendedprice - mid)) AS mad FROM lineitem, m GROUP BY mid)
 SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem, s WHERE l_extendedprice > mid + 1.2 * (1.4826 * mad + 1e-6) ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 100""")
 def robust_peaks(spark, d):
@@ -603,6 +590,8 @@ def stream_exactly_once(spark, d):
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for what all executors share; in local mode, the warehouse."""
+    """The folder that the cluster names for what all executors share; in local mode, if unset, the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/pagemill"

@@ -112,13 +112,16 @@ def worst_list(spark, d):
     return worst.select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query("""SELECT n.n_nationkey, n.n_name, CASE WHEN n_regionkey IN (1, 3) THEN 'written' ELSE 'kept' END AS state FROM nation n WHERE n_regionkey <> 4""")
+@query("""WITH split AS (SELECT n_nationkey, n_name, CASE WHEN n_regionkey <> 2 THEN n_regionkey END AS shard FROM nation WHERE n_regionkey <> 4)
+SELECT n_nationkey, n_name, shard, CASE WHEN shard IN (1, 3) THEN 'written' ELSE 'kept' END AS state FROM split""")
 def split_build(spark, d):
-    """A split built, then again with other rows in one shard, one shard lost and one no longer planned; what the second build did with each row's."""
-    folder, nation = f"{scratch(spark)}/split", table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    """A split (one of whose shards is null) built, then again with other rows in one shard, one shard lost and one no longer planned; what the second build did with each row's."""
+    folder, shard = f"{scratch(spark)}/split", F.when(F.col("n_regionkey") != 2, F.col("n_regionkey")).alias("shard")
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name", shard, "n_regionkey")
     first = nation.withColumn("n_name", F.when(F.col("n_nationkey") == nation.filter("n_regionkey = 1").agg(F.min("n_nationkey")).first()[0], "?").otherwise(F.col("n_name")))
-    shards.build_split(first.filter("n_regionkey != 3"), folder, "n_regionkey", "v1")
-    plan = shards.build_split(nation.filter("n_regionkey != 4"), folder, "n_regionkey", "v1")
-    rows = shards.read_split(spark, folder, nation.schema, "n_regionkey")
+    shards.build_split(first.filter("n_regionkey != 3").drop("n_regionkey"), folder, "shard", "v1")
+    now = nation.filter("n_regionkey != 4").drop("n_regionkey")
+    plan = shards.build_split(now, folder, "shard", "v1").withColumnRenamed("shard", "folder")
+    rows = shards.read_split(spark, folder, now.schema)
     state = F.when(F.col("kept"), "kept").otherwise("written").alias("state")
-    return rows.join(plan, F.col("n_regionkey").cast("string") == F.col("shard")).select("n_nationkey", "n_name", state)
+    return rows.join(plan, shards.tagged("shard") == F.col("folder")).select("n_nationkey", "n_name", "shard", state)

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import report
+from pagemill.operators import intervals
 from pagemill.plans.catalog import query, r6, work_folder
 from pagemill.sinks import logs
 from pagemill.sources import files
@@ -93,6 +94,31 @@ def engine_method_summary(spark, d):
     )
 
 
+_PAIRS = (("A", "R"), ("R", "N"))
+
+
+@query(f"""WITH s AS (SELECT l_linestatus AS engine, l_returnflag AS method, l_suppkey AS key, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
+u AS (SELECT engine, 'mean' AS what, method AS a, NULL AS b, key, v FROM s
+  UNION ALL SELECT x.engine, 'against input', x.method, 'N', key, x.v - y.v FROM s x JOIN s y USING (engine, key) WHERE y.method = 'N' AND x.method <> 'N'
+  UNION ALL SELECT x.engine, 'pair', x.method, y.method, key, x.v - y.v FROM s x JOIN s y USING (engine, key) WHERE (x.method, y.method) IN (('A', 'R'), ('R', 'N'))),
+picked AS (SELECT engine, what, a, b, r, v, {intervals.DRAWS_SQL} AS w FROM (SELECT *, key AS k FROM u), range(1, {intervals.RESAMPLES + 1}) t(r)),
+means AS (SELECT engine, what, a, b, sum(w * v) / sum(w) AS m FROM picked GROUP BY engine, what, a, b, r),
+ci AS (SELECT engine, what, a, b, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi FROM means GROUP BY ALL)
+SELECT engine, what, a, b, n, mean, lo, hi, lo > 0 AS worse, lo > 0 OR hi < 0 AS excludes_zero
+FROM ci JOIN (SELECT engine, what, a, b, count(*) AS n, round(avg(v), 4) AS mean FROM u GROUP BY ALL) g
+  ON g.engine = ci.engine AND g.what = ci.what AND g.a = ci.a AND g.b IS NOT DISTINCT FROM ci.b""")
+def engine_method_intervals(spark, d):
+    """The result table in full, 10,000 resamples: for each engine the mean of each method, each method against the input's, and chosen pairs, on the keys both have."""
+    line = table(spark, d, "lineitem")
+    scores = line.groupBy(F.col("l_linestatus").alias("engine"), F.col("l_returnflag").alias("method"), F.col("l_suppkey").alias("key")).agg(F.avg("l_extendedprice").alias("v"))
+    means = scores.select("engine", F.lit("mean").alias("what"), F.col("method").alias("a"), F.lit(None).cast("string").alias("b"), "key", "v")
+    told = lambda what, pairs: intervals.compared(scores, "engine", "method", "key", "v", pairs).select("engine", F.lit(what).alias("what"), "a", "b", "key", F.col("difference").alias("v"))
+    every = means.unionByName(told("against input", [(m, "N") for m in ("A", "R")])).unionByName(told("pair", _PAIRS))
+    out = intervals.bootstrap(every, ["engine", "what", "a", "b"], F.col("key"), "v")
+    rounded = out.select("engine", "what", "a", "b", "n", *(F.round(c, 4).alias(c) for c in ("mean", "lo", "hi")))
+    return rounded.withColumn("worse", F.col("lo") > 0).withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
+
+
 @query("""WITH m AS (SELECT o_orderpriority AS name, avg(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY 1), i AS (SELECT v FROM m WHERE name = '1-URGENT')
 SELECT row_number() OVER (ORDER BY name <> '1-URGENT', name = '5-LOW', v DESC) AS place,
   '| ' || name || ' | ' || printf('%.2f', v) || ' | ' || CASE WHEN name = '1-URGENT' THEN '–' ELSE printf('%+.2f', v - (SELECT v FROM i)) END || ' | ' || n || ' |' AS line FROM m""")

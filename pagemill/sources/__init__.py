@@ -1 +1 @@
-"""Readers: Parquet tables, CSV/JSON/YAML/text with the null rules of this engine, and zip/tar data sources."""
+"""Readers: Parquet tables, CSV, JSON and text with the null rules of this engine, word boxes, file listings, zip and tar archives."""

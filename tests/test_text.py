@@ -58,10 +58,10 @@ def test_normalize_whole(spark, tmp_path):
     assert got == {r["doc_id"]: None if r["text"] is None else normal(r["text"]) for r in docs}
 
 
-def test_greedy_wrap_whole(spark):
+def test_greedy_wrap(spark):
     """Every word is wrapped, far past the 80th too."""
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
-    got = {r["doc_id"]: r["n_lines"] for r in catalog.greedy_wrap_whole(spark, "/root/testdata/sf0.001").collect()}
+    got = {r["doc_id"]: r["n_lines"] for r in catalog.greedy_wrap(spark, "/root/testdata/sf0.001").collect()}
     assert got.keys() == texts.keys() and max(len(t.split()) for t in texts.values() if t) > 80
     for i, t in texts.items():
         used = lines = 0
