@@ -90,7 +90,7 @@ def corner_angles(corners: Column) -> Column:
     def angle(p: Column, i: Column) -> Column:
         a, b = _corner(corners, i + 3), _corner(corners, i + 1)
         cosine = ((a["x"] - p["x"]) * (b["x"] - p["x"]) + (a["y"] - p["y"]) * (b["y"] - p["y"])) / F.nullif(apart(p, a) * apart(p, b), F.lit(0.0))
-        return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+        return F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
 
     return F.transform(corners, angle)
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 #: Characters read as others, stand-alone bullets, and what hints at a line of code.
 QUOTES, QUOTES_AS = "‘’‚‛′“”„″‐‑‒–—− ", "'''''\"\"\"\"------ "
@@ -56,14 +57,18 @@ def wer(ref: Column, hyp: Column) -> Column:
     return _rate(ref, hyp, edits, F.size(words(ref)))
 
 
+@F.pandas_udf(LongType())
+def _common_words(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """How many words two texts have in common, each as often as both have it; counted word by word, which array functions do only pair by pair."""
+    for ref, hyp in pairs:
+        yield pd.Series([None if a is None or b is None else sum((Counter(a.split(" ")) & Counter(b.split(" "))).values()) if a and b else 0 for a, b in zip(ref, hyp, strict=True)], dtype="Int64")
+
+
 def word_f1(ref: Column, hyp: Column) -> Column:
     """F1 over word multisets of normalised texts: twice the overlap by both sizes."""
-    words = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
-    count = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
-    r, h = words(ref), words(hyp)
-    overlap = F.aggregate(F.array_distinct(r), F.lit(0), lambda s, w: s + F.least(count(r, w), count(h, w)))
-    both = F.size(r) + F.size(h)
-    return F.when(both == 0, 1.0).otherwise(2.0 * overlap / F.greatest(both, F.lit(1)))
+    size = lambda t: F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
+    both = size(ref) + size(hyp)
+    return F.when(both == 0, 1.0).otherwise(2.0 * _common_words(ref, hyp) / F.greatest(both, F.lit(1)))
 
 
 def is_code(line: Column) -> Column:
