@@ -136,7 +136,7 @@ def user_means(spark: SparkSession, d: str) -> DataFrame:
 
 _BOOTSTRAP = f"""
 picked AS (SELECT method, r, v, {intervals.DRAWS_SQL} AS w FROM (SELECT method, user_id % {intervals.PRIME} AS k, v FROM u), range(1, {RESAMPLES + 1}) t(r)),
-means AS (SELECT method, r, sum(w * v) / sum(w) AS m FROM picked GROUP BY ALL),
+means AS (SELECT method, r, sum(w * v) / nullif(sum(w), 0) AS m FROM picked GROUP BY ALL),
 ci AS (SELECT method, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM means GROUP BY 1)
 SELECT method, count(*) AS n, round(avg(v), 6) AS mean, any_value(lo) AS lo, any_value(hi) AS hi, any_value(lo > 0 OR hi < 0) AS excludes_zero FROM u JOIN ci USING (method) GROUP BY method"""
 

@@ -102,9 +102,9 @@ u AS (SELECT engine, 'mean' AS what, method AS a, NULL AS b, key, v FROM s
   UNION ALL SELECT x.engine, 'against input', x.method, 'N', key, x.v - y.v FROM s x JOIN s y USING (engine, key) WHERE y.method = 'N' AND x.method <> 'N'
   UNION ALL SELECT x.engine, 'pair', x.method, y.method, key, x.v - y.v FROM s x JOIN s y USING (engine, key) WHERE (x.method, y.method) IN (('A', 'R'), ('R', 'N'))),
 picked AS (SELECT engine, what, a, b, r, v, {intervals.DRAWS_SQL} AS w FROM (SELECT *, key AS k FROM u), range(1, {intervals.RESAMPLES + 1}) t(r)),
-means AS (SELECT engine, what, a, b, sum(w * v) / sum(w) AS m FROM picked GROUP BY engine, what, a, b, r),
+means AS (SELECT engine, what, a, b, sum(w * v) / nullif(sum(w), 0) AS m FROM picked GROUP BY engine, what, a, b, r),
 ci AS (SELECT engine, what, a, b, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi FROM means GROUP BY ALL)
-SELECT engine, what, a, b, n, mean, lo, hi, lo > 0 AS worse, lo > 0 OR hi < 0 AS excludes_zero
+SELECT ci.engine, ci.what, ci.a, ci.b, n, mean, lo, hi, lo > 0 AS worse, lo > 0 OR hi < 0 AS excludes_zero
 FROM ci JOIN (SELECT engine, what, a, b, count(*) AS n, round(avg(v), 4) AS mean FROM u GROUP BY ALL) g
   ON g.engine = ci.engine AND g.what = ci.what AND g.a = ci.a AND g.b IS NOT DISTINCT FROM ci.b""")
 def engine_method_intervals(spark, d):
