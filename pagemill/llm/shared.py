@@ -109,11 +109,13 @@ def linked(
     copied whole too), then by turns one at random. Links contract members to
     components, and pairs within a component change nothing, so a bucket of m near copies costs about m pairs. A bucket of two that aren't alike is done with. When a round
     brings few links, what is left are members of one bucket that aren't connected; their pairs meet in a join whose condition rejects before a row is made.
+    ``confirm`` may give for a pair, with ``near``, whether it is linked, also a few features of either that the other lacks (``own_a, own_b``): then members that the same hub has met in the
+    first round meet only if they share a feature that the hub lacks, as far copies of one original don't, unless they share edits.
     With ``finer`` they are dealt out anew before: it gives for a table of ids (``id``) keys (``id, key`` and what ``meet("x.", "y.")`` reads) of what is rare in each among all
     that are left, so that copies just too far from each other, whose pairs would be many, mostly don't meet.
     """
     rows = staged(buckets.join(facts, "id"), "rows")
-    links, groups, tried = None, None, None
+    links, groups, tried, views = None, None, None, None
     names = [c for c in rows.columns if c != "key"]
     for turn in range(STAR_ROUNDS):
         live = _open(rows, groups)
@@ -136,6 +138,11 @@ def linked(
         if not n:
             break
         tried = fresh if tried is None else tried.unionByName(fresh)
+        if "near" in found.columns:
+            if turn == 0:
+                of = lambda i, j: found.select(F.col(i).alias("id"), F.col(j).alias("hub"), F.col(f"own_{i}").alias("own"))
+                views = staged(one.join(of("a", "b").unionByName(of("b", "a")), ["id", "hub"]), "views")
+            found = found.filter("near").select("a", "b")
         n_found = found.count()
         if n_found:
             links = found if links is None else links.unionByName(found)
@@ -146,11 +153,17 @@ def linked(
     if finer:
         ids = staged(left.drop("key").dropDuplicates(["id"]), "left")
         left = staged(finer(ids.select("id")).join(ids, "id"), "finer")
+    if views is not None:
+        left = staged(left.join(views, "id", "left"), "left")
+        met_already = (F.col("x.hub") == F.col("y.id")) | (F.col("y.hub") == F.col("x.id"))
+        strangers = (F.col("x.hub") == F.col("y.hub")) & ~F.arrays_overlap("x.own", "y.own")
+        meet = lambda x, y: ~F.coalesce(met_already | strangers, F.lit(False))
     x, y = left.alias("x"), left.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    met = x.join(y, across & meet("x.", "y.") & alike("x.", "y.")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    met = x.join(y, across & alike("x.", "y.") & meet("x.", "y.")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     _, found, n = _settled(met, tried, confirm)
     if n:
+        found = found.filter("near").select("a", "b") if "near" in found.columns else found
         links = found if links is None else links.unionByName(found)
     return links if links is not None else rows.sparkSession.createDataFrame([], T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType)]))
 
