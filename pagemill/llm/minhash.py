@@ -202,7 +202,9 @@ def whole_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets have 100 |A and B| >= 75 |A or B|."""
-    full = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    # Each set is once in a hash table; pairs, long rows once they have a set, are never sorted.
+    side = lambda i, c: sets.select(F.col("id").alias(i), F.col("shingles").alias(c)).hint("shuffle_hash")
+    full = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a")
     both = full.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("both"))
     return both.filter(100 * F.col("both") >= THRESHOLD * (F.col("sizes") - F.col("both"))).select("a", "b")
 

@@ -25,9 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = tempfile.mkdtemp(prefix="pagemill-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{tempfile.gettempdir()}/pagemill-{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

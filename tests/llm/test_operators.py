@@ -496,6 +496,28 @@ def test_exact_passages_whole_table(spark):
     assert exact and exact <= found
 
 
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    """A labelled doc_id in very many rows, of different texts: the fit takes no more rows than asked."""
+    rows = [(1, f"clean words number {i}", "en", "s", 1) for i in range(20_000)] + [(i, "you idiot moron trash", "en", "s", 1) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, 0, int(i > 1)) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.training_rows(docs.select("doc_id", "text"), labels, 100).count() <= 100
+    assert toxicity.score(docs, labels, 100).count() == len(rows)
+
+
+def test_passages_in_blocks_and_long_texts(spark, docs_of):
+    """Three blocks of passages, a text of 600,000 characters, repeated rows and clashing names: the same as in one block."""
+    rng = random.Random(12)
+    passage = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(20))
+    items = [(i, passage()) for i in range(12)]
+    filler = " ".join("".join(rng.choices("qrstuvwxyz", k=5)) for _ in range(100_000))
+    docs = docs_of([(1, filler[:300_000] + items[3][1] + filler[300_000:]), (2, items[7][1]), (2, items[7][1]), (3, "clean"), (4, None)]).withColumn("start", F.lit(5))
+    bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(9))
+    one, three = (sorted(map(tuple, decontam.find_passages(docs, bench, block_chars=n).collect())) for n in (10**6, 1_200))
+    assert one == three and [x[:2] for x in one] == [(1, 3), (2, 7), (2, 7)] and len(decontam.blocks(bench, 1_200)) >= 3
+    assert sorted(r["doc_id"] for r in decontam.decontaminated(docs, bench, block_chars=1_200).collect()) == [3, 4]
+
+
 # op10
 
 
