@@ -3,7 +3,7 @@
 import pytest
 from compare import assert_same
 
-from pagemill.plans import catalog, details, measures, reports  # noqa: F401  the others add their queries to the catalogue
+from pagemill.plans import catalog, details, measures, pictures, places, reports, runs  # noqa: F401  the others add their queries to the catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 
