@@ -239,7 +239,7 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = staged(crowded(nodes.select(F.explode("bands").alias("key"), F.col("shingles").alias("size"), "id"), 1 - THRESHOLD / 100), "buckets").select("key", "id")
     sets = whole_sets(docs, nodes.join(buckets.select("id").distinct(), "id").select("id", "doc_id", "version"))
     finer = lambda ids: rare_shingles(sets.join(ids, "id"))
-    links = linked(buckets, nodes.select("id", "n", "shingles", *WORDS), alike, lambda pairs: confirmed(pairs, sets), finer, may_overlap)
+    links = linked(buckets, nodes.select("id", "n", "shingles", *WORDS), alike, lambda pairs, _: confirmed(pairs, sets), finer, may_overlap)
     dropped(sets)
     placed = staged(firsts.join(connected_components(links), "id", "left").select("copy", "doc_id", F.coalesce("component", "id").alias("group")), "placed")
     smallest = staged(placed.groupBy("group").agg(F.min("doc_id").alias("component")), "smallest")

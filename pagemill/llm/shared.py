@@ -96,7 +96,7 @@ def linked(
     buckets: DataFrame,
     facts: DataFrame,
     alike: Callable[[str, str], Column],
-    confirm: Callable[[DataFrame], DataFrame],
+    confirm: Callable[[DataFrame, bool], DataFrame],
     finer: Callable[[DataFrame], DataFrame] | None = None,
     meet: Callable[[str, str], Column] = lambda x, y: F.lit(True),
 ) -> DataFrame:
@@ -107,8 +107,8 @@ def linked(
     copied whole too), then by turns one at random. Links contract members to
     components, and pairs within a component change nothing, so a bucket of m near copies costs about m pairs. A bucket of two that aren't alike is done with. When a round
     brings few links, what is left are members of one bucket that aren't connected; their pairs meet in a join whose condition rejects before a row is made.
-    ``confirm`` may give for a pair, with ``near``, whether it is linked, also a few features of either that the other lacks (``own_a, own_b``): then members that the same hub has met in the
-    first round meet only if they share a feature that the hub lacks, as far copies of one original don't, unless they share edits.
+    ``confirm`` gets pairs and whether these are the first round's, for which it may give, with ``near``, whether a pair is linked, also a few features of either that the other lacks
+    (``own_a, own_b``): then members that the same hub has met meet only if they share a feature that the hub lacks, as far copies of one original don't, unless they share edits.
     With ``finer`` they are dealt out anew before: it gives for a table of ids (``id``) keys (``id, key`` and what ``meet("x.", "y.")`` reads) of what is rare in each among all
     that are left, so that copies just too far from each other, whose pairs would be many, mostly don't meet.
     """
@@ -131,13 +131,13 @@ def linked(
             dropped(live)
         # Of the hubs of its buckets, each member meets one a round.
         one = met.groupBy("id").agg(F.min_by("hub", F.struct(-F.col("hub_n"), "hub")).alias("hub"))
-        fresh, found, n = _settled(one.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), tried, confirm)
+        fresh, found, n = _settled(one.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")), tried, lambda pairs, first=not turn: confirm(pairs, first))
         dropped(hubs)
         if not n:
             break
         tried = fresh if tried is None else tried.unionByName(fresh)
         if "near" in found.columns:
-            if turn == 0:
+            if "own_a" in found.columns:
                 of = lambda i, j: found.select(F.col(i).alias("id"), F.col(j).alias("hub"), F.col(f"own_{i}").alias("own"))
                 views = staged(one.join(of("a", "b").unionByName(of("b", "a")), ["id", "hub"]), "views")
             found = found.filter("near").select("a", "b")
@@ -159,7 +159,7 @@ def linked(
     x, y = left.alias("x"), left.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
     met = x.join(y, across & alike("x.", "y.") & meet("x.", "y.")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    _, found, n = _settled(met, tried, confirm)
+    _, found, n = _settled(met, tried, lambda pairs: confirm(pairs, False))
     if n:
         found = found.filter("near").select("a", "b") if "near" in found.columns else found
         links = found if links is None else links.unionByName(found)
