@@ -45,7 +45,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Edit similarity, character n-gram models and MinHash candidates aren't SQL; a brute-force version is in the tests.
+#: Edit similarity, character n-gram models and MinHash candidates aren't SQL. Tests hold the run against its stages called one by one, and each stage against brute force on fixtures.
 ORACLE_SQL = None
 
 
