@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the interval: resamples, level and seed.
 RESAMPLES, LEVEL, SEED = 10_000, 0.95, 0
+#: About so many draws are held at a time: 16 bytes each.
+DRAWS = 1 << 20
 
 
 def method_summary(facts: DataFrame, method: str, key: str, value: str, baseline: str) -> DataFrame:
@@ -24,10 +27,10 @@ def method_summary(facts: DataFrame, method: str, key: str, value: str, baseline
 
 
 def interval(values: np.ndarray, resamples: int = RESAMPLES, level: float = LEVEL, seed: int = SEED) -> tuple[float, float, float]:
-    """Mean and percentile interval; resamples are drawn a thousand at a time."""
+    """Mean and percentile interval; as many resamples are drawn at a time as ``DRAWS`` allow, one at least. The draws are the same however they are cut."""
     rng, means, left = np.random.default_rng(seed), [], resamples
     while left:
-        some = min(left, 1000)
+        some = min(left, max(1, DRAWS // len(values)))
         means.append(values[rng.integers(0, len(values), (some, len(values)))].mean(1))
         left -= some
     tail = 100 * (1 - level) / 2
@@ -36,13 +39,17 @@ def interval(values: np.ndarray, resamples: int = RESAMPLES, level: float = LEVE
 
 
 def bootstrap_exact(values: DataFrame, group: str, key: str, value: str) -> DataFrame:
-    """``group, n, mean, lo, hi`` with numpy's generator; for groups of a size that one task can hold (one result table's keys)."""
+    """``group, n, mean, lo, hi`` with numpy's generator, whose draws follow one another, so that a group is one task's work.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        v = rows.sort_values(key)[value].to_numpy(float)
-        return pd.DataFrame([[rows[group].iloc[0], len(v), *interval(v)]], columns=[group, "n", "mean", "lo", "hi"])
+    The task holds the group's rows and one resample, or ``DRAWS`` draws: its memory grows with the group alone, not with the number of resamples.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        v = rows.select([value]).take(pc.sort_indices(rows, [(key, "ascending")])).column(0).to_numpy()
+        return pa.table([rows.column(group)[:1], *([x] for x in (len(v), *interval(v)))], names=[group, "n", "mean", "lo", "hi"])
 
-    return values.select(group, key, value).groupBy(group).applyInPandas(run, f"{group} string, n bigint, mean double, lo double, hi double")
+    numbers = values.select(F.col(group).cast("string").alias(group), key, F.col(value).cast("double").alias(value))
+    return numbers.groupBy(group).applyInArrow(run, f"{group} string, n bigint, mean double, lo double, hi double")
 
 
 def newest_wins(results: DataFrame, label: str, job: str, n: str, fields: Sequence[str]) -> DataFrame:
