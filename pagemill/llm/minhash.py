@@ -236,7 +236,7 @@ def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = staged(first.select("copy", "first.*", "n", F.monotonically_increasing_id().alias("id")), "firsts")
     at = rows.join(firsts, ["copy", "doc_id", "version"]).dropDuplicates(["copy", "doc_id", "version"])
     nodes = staged(at.select("id", "doc_id", "version", "n", F.col("n_shingles").alias("shingles"), "bands", *(F.col("low_bits")[i].alias(w) for i, w in enumerate(WORDS))), "nodes")
-    buckets = staged(crowded(nodes.select(F.explode("bands").alias("key"), F.col("shingles").alias("size"), "id"), 1 - THRESHOLD / 100), "buckets").select("key", "id")
+    buckets = crowded(nodes.select(F.explode("bands").alias("key"), F.col("shingles").alias("size"), "id"), 1 - THRESHOLD / 100).select("key", "id")
     sets = whole_sets(docs, nodes.join(buckets.select("id").distinct(), "id").select("id", "doc_id", "version"))
     finer = lambda ids: rare_shingles(sets.join(ids, "id"))
     links = linked(buckets, nodes.select("id", "n", "shingles", *WORDS), alike, lambda pairs, _: confirmed(pairs, sets), finer, may_overlap)
