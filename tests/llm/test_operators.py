@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -412,6 +412,72 @@ def test_many_near_lines_are_one_group(docs_of):
     assert [out[i] for i in range(200)] == [0] + [1] * 99 + [0] * 100
 
 
+def lines_of_letters(rng, n):
+    """Pairs of normalised lines, a few edits to many apart, some with letters outside ASCII or one letter hundreds of times."""
+    for i in range(n):
+        letters = rng.choice(["abcdefghijklmnopqrstuvwxyz ", "aé0ßñ漢字🙂 ", "ab "])
+        line = "".join(rng.choices(letters, k=rng.choice([30, 100, 900])))
+        copy = list(line)
+        for at in rng.sample(range(len(line)), rng.randint(0, len(line) // 4)):
+            copy[at] = rng.choice(["", rng.choice(letters), rng.choice(letters) * 2])
+        a, b = fuzzy_lines.words_of(line), fuzzy_lines.words_of("".join(copy))
+        if len(a) >= 20 and len(b) >= 20:
+            yield i, a, b
+
+
+def test_counts_of_letters_reject_no_near_lines(spark):
+    pairs = list(lines_of_letters(random.Random(6), 300))
+    sides = []
+    for k in (1, 2):
+        _, _, _, chars, solid = fuzzy_lines.line_rows([p[k] for p in pairs])
+        counts = fuzzy_lines.letter_counts(np.frombuffer(b"".join(solid), np.uint8), np.cumsum([0, *map(len, solid)]), chars)
+        sides.append([(n, *c) for n, c in zip(chars.tolist(), counts.tolist(), strict=True)])
+    names = ["chars", *fuzzy_lines.LETTERS]
+    x, y = (spark.createDataFrame([(p[0], *row) for p, row in zip(pairs, side, strict=True)], ["i", *names]).withColumn("letters", fuzzy_lines.letters()) for side in sides)
+    found = {r["i"]: r["ok"] for r in x.alias("x").join(y.alias("y"), "i").select("i", fuzzy_lines.reachable("x.", "y.").alias("ok")).collect()}
+    kinds = lambda x: Counter(c if c < "\x80" else c.encode()[1] % 4 for c in x)
+    for i, a, b in pairs:
+        most = int(fuzzy_lines.EDIT_RATE * max(len(a), len(b)))
+        x, y = ({c: min(n, 255) for c, n in kinds(t).items()} for t in (a, b))
+        apart = [x.get(c, 0) - y.get(c, 0) for c in {*x, *y}]
+        assert found[i] == (max(sum(d for d in apart if d > 0), -sum(d for d in apart if d < 0)) <= most)
+        assert found[i] or not fuzzy_lines.within(a, b, most)
+    assert 20 < sum(found.values()) < len(pairs) - 20
+
+
+def test_own_grams_are_those_the_other_lacks():
+    pairs = list(lines_of_letters(random.Random(7), 40))
+
+    def grams(text):
+        codes = np.frombuffer(text.replace(" ", "").encode(), np.uint8)
+        return set(fuzzy_lines.gram_hashes(codes, np.array([0, len(codes)]), fuzzy_lines.LOW_GRAM).tolist()) - {2**64 - 1}
+
+    for (_, a, b), *own in zip(pairs, *fuzzy_lines.own_grams([p[1] for p in pairs], [p[2] for p in pairs]), strict=True):
+        for (x, y), found in zip(((a, b), (b, a)), own, strict=True):
+            assert np.array(found, np.int64).view(np.uint64).tolist() == sorted(grams(x) - grams(y))[: fuzzy_lines.OWN]
+
+
+def test_lines_around_one_passage_meet_by_their_letters(docs_of, monkeypatch):
+    """Lines that have two thirds of their text in common and else other letters, and a hub too long for them: only those of like letters are pairs, each once; near ones are found."""
+    rng = random.Random(5)
+    words = lambda letters, n: " ".join("".join(rng.choices(letters, k=6)) for _ in range(n))
+    passage = words("abcdefghijklmnopqrstuvwxyz", 40)
+    lines = [f"{words(alphabet, 10)} {passage} {words(alphabet, 10)}" for alphabet in ("abcde", "fghij", "klmno", "pqrst", "uvwxyz") for _ in range(8)]
+    near = [lines[i][:-12] + words("abcde", 1) for i in range(0, 40, 8)]
+    hub = f"{passage} {words('abcdefghijklmnopqrstuvwxyz', 100)}"
+    made = []
+    confirmed = fuzzy_lines.confirmed
+
+    def counted(pairs, texts, told):
+        made.append((pairs.count(), pairs.distinct().count()))
+        return confirmed(pairs, texts, told)
+
+    monkeypatch.setattr(fuzzy_lines, "confirmed", counted)
+    gone = {r["doc_id"] for r in fuzzy_lines.without_repeated_lines(docs_of(enumerate([hub, hub, *lines, *near]))).filter("n_removed > 0").collect()}
+    assert gone == {1, *range(42, 47)}
+    assert all(n == m for n, m in made) and sum(n for n, _ in made) < 450
+
+
 def test_line_dedup_clashing_columns(docs_of):
     docs = docs_of([(1, LONG), (2, LONG)]).selectExpr("doc_id", "text", "1 AS of", "2 AS version", "3 AS cut", "4 AS _of", "5 AS n_removed")
     out = fuzzy_lines.without_repeated_lines(docs)
