@@ -11,7 +11,7 @@ import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, decontam, fuzzy_lines, hilbert_ann, language_id, minhash, mixing, oracle, queries, secrets, toxicity
+from pagemill.llm import chat, decontam, fuzzy_lines, hilbert_ann, language_id, minhash, mixing, oracle, queries, secrets, shared, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -457,25 +457,32 @@ def test_own_grams_are_those_the_other_lacks():
             assert np.array(found, np.int64).view(np.uint64).tolist() == sorted(grams(x) - grams(y))[: fuzzy_lines.OWN]
 
 
-def test_lines_around_one_passage_meet_by_their_letters(docs_of, monkeypatch):
-    """Lines that have two thirds of their text in common and else other letters, and a hub too long for them: only those of like letters are pairs, each once; near ones are found."""
+def test_lines_around_one_passage(docs_of):
+    """Of lines that have two thirds of their text in common those go that are near, no others."""
     rng = random.Random(5)
     words = lambda letters, n: " ".join("".join(rng.choices(letters, k=6)) for _ in range(n))
     passage = words("abcdefghijklmnopqrstuvwxyz", 40)
     lines = [f"{words(alphabet, 10)} {passage} {words(alphabet, 10)}" for alphabet in ("abcde", "fghij", "klmno", "pqrst", "uvwxyz") for _ in range(8)]
     near = [lines[i][:-12] + words("abcde", 1) for i in range(0, 40, 8)]
-    hub = f"{passage} {words('abcdefghijklmnopqrstuvwxyz', 100)}"
+    gone = {r["doc_id"] for r in fuzzy_lines.without_repeated_lines(docs_of(enumerate([*lines, *near]))).filter("n_removed > 0").collect()}
+    assert gone == set(range(40, 45))
+
+
+def test_pairs_that_hubs_leave_are_held_to_bounds(spark):
+    """A bucket's hub is like none of its members, which are all alike, twice: those of one colour are pairs, others aren't."""
+    buckets = spark.createDataFrame([(key, i) for key in (1, 2) for i in range(30)], "key long, id long")
+    facts = spark.createDataFrame([(i, 1, i > 0) for i in range(30)], "id long, n long, plain boolean")
+    colours = spark.createDataFrame([(i, i % 5) for i in range(30)], "id long, colour long")
     made = []
-    confirmed = fuzzy_lines.confirmed
 
-    def counted(pairs, texts, told):
-        made.append((pairs.count(), pairs.distinct().count()))
-        return confirmed(pairs, texts, told)
+    def confirm(pairs, first):
+        made.extend((r["a"], r["b"]) for r in pairs.collect())
+        return pairs.filter("b - a = 25")
 
-    monkeypatch.setattr(fuzzy_lines, "confirmed", counted)
-    gone = {r["doc_id"] for r in fuzzy_lines.without_repeated_lines(docs_of(enumerate([hub, hub, *lines, *near]))).filter("n_removed > 0").collect()}
-    assert gone == {1, *range(42, 47)}
-    assert all(n == m for n, m in made) and sum(n for n, _ in made) < 450
+    both = lambda c: lambda x, y: F.col(x + c) & F.col(y + c)
+    links = shared.linked(buckets, facts, both("plain"), confirm, bounds=(lambda rows: rows.join(colours, "id"), lambda x, y: F.col(x + "colour") == F.col(y + "colour")))
+    assert sorted(made) == [(i, j) for i in range(1, 30) for j in range(i + 5, 30, 5)]
+    assert sorted(map(tuple, links.collect())) == [(i, i + 25) for i in range(1, 5)]
 
 
 def test_line_dedup_clashing_columns(docs_of):
